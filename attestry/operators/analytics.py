@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions import vocabulary as V
@@ -173,9 +173,10 @@ def entity_facets(experiments: DataFrame, top: int = 8) -> DataFrame:
     counted = rows.filter("f.value is not null").groupBy("kind", "name", "f.facet", "f.value").agg(
         F.count("*").alias("n"), F.min(F.struct("slug", "ord")).alias("_first"))
     order = [F.desc("n"), F.col("_first"), F.col("value")]
-    full = F.col("facet").isin("tasks", "families")
+    vocabulary = F.col("facet").isin("tasks", "families")  # few values each, so all of them are ranked
     key = ["kind", "name", "facet"]
-    return first_n(counted.filter(~full), key, order, top).unionByName(first_n(counted.filter(full), key, order, 1_000_000)).drop("_first")
+    complete = counted.filter(vocabulary).withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return first_n(counted.filter(~vocabulary), key, order, top).unionByName(complete).drop("_first")
 
 
 def problems(limitations: DataFrame) -> DataFrame:
