@@ -125,10 +125,10 @@ def operational_states(spark, sf):
 
 
 @query("operational_catalogue", f"""with {_STATES}, h as (select st.paper_id, c_mktsegment as domain, extraction_state, verification_state from st join customer on c_custkey::varchar = st.paper_id
- where contains(lower(c_name), '1') and extraction_state = 'PARTIAL' and verification_state = 'PARTIALLY_VERIFIED') select *, (select count(*) from h) as total from h order by paper_id limit 50 offset 10""")
+ where contains(lower(c_name), '7') and extraction_state = 'PARTIAL' and verification_state = 'PARTIALLY_VERIFIED') select *, (select count(*) from h) as total from h order by paper_id limit 50 offset 10""")
 def operational_catalogue(spark, sf):
     papers, s = states(spark, sf)
-    hits = T.paper_catalogue(papers, s, text="1", extraction_state="PARTIAL", verification_state="PARTIALLY_VERIFIED")
+    hits = T.paper_catalogue(papers, s, text="7", extraction_state="PARTIAL", verification_state="PARTIALLY_VERIFIED")
     return page(hits, [F.col("paper_id")], 50, 10).select("paper_id", "domain", "extraction_state", "verification_state", "total")
 
 
