@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from attestry.operators import analytics as A
 from attestry.plans.q_ledger import claims, decorated, _CLAIMS, _REQUESTS
 from attestry.operators.ledger import audit_progress_by
-from attestry.plans.registry import query, table
+from attestry.plans.registry import query, spread_table, table
 
 _REPORTED = ("if(l_discount > 0.02, 'learning_rate', null)", "if(l_tax > 0.03, 'batch_size', null)", "if(l_quantity > 25, 'epochs', null)",
              "if(l_linenumber % 2 = 0, 'loss', null)", "if(l_linenumber = 3, 'hardware', null)")
@@ -18,7 +18,7 @@ def papers(spark, sf):
 
 
 def experiments(spark, sf):
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    li = spread_table(spark, sf, "lineitem").join(table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     return li.select(
         F.col("l_orderkey").alias("slug"), F.col("l_linenumber").alias("ord"), F.col("p_type").alias("task"), F.col("p_brand").alias("family"),
         F.col("p_name").alias("method"), F.expr("if(l_suppkey % 3 = 0, array(concat('S', l_suppkey % 40), concat('ERA5 ', l_suppkey % 7)), array(concat('S', l_suppkey % 40)))").alias("datasets"),

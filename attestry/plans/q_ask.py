@@ -6,7 +6,7 @@ from attestry.functions.text import fold_question
 from attestry.operators import ask as K
 from attestry.operators import extract as X
 from attestry.plans import sqltext as S
-from attestry.plans.registry import as_int, query, table
+from attestry.plans.registry import as_int, query, spread_table, table
 
 
 def experiments(spark, sf):
@@ -111,7 +111,7 @@ _TEXT = """text || case doc_id % 6 when 0 then '. The learning rate of 0.0' || (
 
 
 def pages(spark, sf):
-    return table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), F.expr(_TEXT).alias("text"))
+    return spread_table(spark, sf, "documents", "doc_id", "source", "text").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), F.expr(_TEXT).alias("text"))
 
 
 def _rule_sql():

@@ -9,7 +9,7 @@ from attestry.functions import text as X
 from attestry.functions import vocabulary as V
 from attestry.operators import gate
 from attestry.plans import sqltext as S
-from attestry.plans.registry import as_int, query, table
+from attestry.plans.registry import as_int, query, spread_table, table
 
 
 @query("quote_locate", f"""
@@ -17,12 +17,12 @@ with q as (select item_id, {S.norm('text')} as n from benchmark), p as (select d
 select q.item_id, count(p.doc_id) as n_pages, coalesce(min(p.doc_id), -1) as first_page
 from q left join p on contains(p.t, q.n) group by q.item_id""")
 def quote_locate(spark, sf):
-    return gate.quote_report(table(spark, sf, "benchmark"), table(spark, sf, "documents"), "item_id", "doc_id")
+    return gate.quote_report(table(spark, sf, "benchmark"), spread_table(spark, sf, "documents", "doc_id", "text"), "item_id", "doc_id")
 
 
 def cited_quotes(spark, sf):
     """Every document cites a passage of itself; a third name the wrong page of their source."""
-    d = table(spark, sf, "documents")
+    d = spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text")
     return d.select(
         "doc_id", F.col("source").alias("slug"), F.col("source").alias("source_file"),
         F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("page_pdf"),
@@ -33,7 +33,7 @@ def cited_quotes(spark, sf):
 
 
 def cited_pages(spark, sf):
-    return table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
+    return spread_table(spark, sf, "documents", "doc_id", "source", "text").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
 
 
 _GATE = f"""
@@ -77,7 +77,7 @@ def gate_summary(spark, sf):
 select doc_id, len({S.numbers('text')}) as n_numbers, array_to_string(list_sort({S.numbers('text')}), '|') as numbers
 from documents""")
 def numeric_tokens(spark, sf):
-    d = table(spark, sf, "documents").withColumn("found", N.numeric_tokens(F.col("text")))
+    d = spread_table(spark, sf, "documents", "doc_id", "text").withColumn("found", N.numeric_tokens(F.col("text")))
     return d.select("doc_id", F.size("found").alias("n_numbers"), F.array_join(F.array_sort("found"), "|").alias("numbers"))
 
 
@@ -90,7 +90,7 @@ select (l_orderkey % 100) as bucket, count(*) as n,
   count_if(list_contains({S.numbers('quote')}, {S.six('l_linenumber')})) as line_supported
 from q group by 1""")
 def numeric_support(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("quote", F.concat(
+    li = spread_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount").withColumn("quote", F.concat(
         F.lit("ordered "), F.col("l_quantity").cast("int").cast("string"), F.lit(" at "),
         F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit(", discount "),
         F.col("l_discount").cast("decimal(4,2)").cast("string")))
@@ -107,7 +107,7 @@ w as (select *, list_filter(string_split(needle, ' '), lambda x: length(x) > 3)
 select conv_id, turn, (hay <> '' and (contains(hay, needle) or (len(words) > 0 and
   len(list_filter(words, lambda x: contains(hay, x))) * 2 >= len(words))))::int as supported from w""")
 def text_support(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread_table(spark, sf, "conversations")
     value = F.concat(F.array_join(F.slice(F.split("text", " "), 2, 5), " "),
                      F.when(F.col("turn") % 2 == 0, F.lit(" completely unrelated wording")).otherwise(F.lit("")))
     return c.select("conv_id", "turn", N.supports(F.parse_json(X.json_text(value)), F.col("text")).cast("int").alias("supported"))
@@ -148,7 +148,7 @@ s as (select doc_id, text, list_filter(list_transform(string_split(
 @query("sentence_explode", _SENTENCES + """
 select doc_id, i - 1 as pos, parts[i] as sentence from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from s)""")
 def sentence_explode(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
     return d.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
@@ -159,7 +159,7 @@ b as (select doc_id, case when strpos(text, sentence) > 1 then
 m as (select doc_id, regexp_extract_all(before, '(?m)^(?:\d+(?:\.\d+)*\s+)?(.{3,100})$', 1) as found from b)
 select doc_id, coalesce(trim(found[len(found)]), '') as section from m""")
 def section_lookup(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", X.sentences(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
+    d = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", "text", X.sentences(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
     d = d.select("doc_id", "text", F.element_at("parts", -1).alias("sentence"))
     return d.select("doc_id", F.coalesce(X.section_before(F.col("text"), F.col("sentence")), F.lit("")).alias("section"))
 
@@ -229,7 +229,7 @@ with t as (select page_id, lower(trim(regexp_replace({_EDITION_TEXT}, '\\s+', '
 select page_id, coalesce({S.regex_ladder('t', V.EDITION_SIGNALS)}, '') as edition,
   concat_ws('|', {', '.join(f"case when regexp_matches(page, '{p}') then '{n}' end" for n, p in V.PUBLICATION_MARKERS)}) as markers from t""")
 def edition_classify(spark, sf):
-    p = table(spark, sf, "pages").withColumn("t", F.expr(_EDITION_TEXT))
+    p = spread_table(spark, sf, "pages").withColumn("t", F.expr(_EDITION_TEXT))
     marks = R.publication_markers(F.concat_ws(" ", "t", "html"))
     return p.select("page_id", F.coalesce(R.edition_of(F.col("t")), F.lit("")).alias("edition"), F.array_join(marks, "|").alias("markers"))
 
@@ -304,7 +304,7 @@ c as (select page_id, edition, coalesce({S.regex_ladder('lower(q)', V.EDITION_SI
   {' + '.join(f"regexp_matches(lower(page), '{p}')::int" for n, p in V.PUBLICATION_MARKERS)} as markers from t)
 select page_id::varchar as slug, edition, proven, markers, (proven = edition and (edition <> 'VERSION_OF_RECORD' or markers > 0))::int as ok from c""")
 def edition_evidence_check(spark, sf):
-    p = table(spark, sf, "pages").withColumn("q", F.expr(_EDITION_TEXT))
+    p = spread_table(spark, sf, "pages").withColumn("q", F.expr(_EDITION_TEXT))
     papers = p.select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("source_file"), F.lit(1).alias("page_pdf"), F.col("q").alias("quote"),
                       F.expr("case when page_id % 9 < 2 then 'PREPRINT' when page_id % 9 = 2 then 'ACCEPTED_MANUSCRIPT' else 'VERSION_OF_RECORD' end").alias("edition"))
     texts = p.select(F.col("url").alias("source_file"), F.lit(1).alias("page"), F.concat_ws(" ", "q", "html").alias("text"))

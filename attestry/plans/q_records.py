@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import walk
 from attestry.plans import sqltext as S
-from attestry.plans.registry import query, table
+from attestry.plans.registry import query, spread_table, table
 from attestry.sources import records as R
 
 _RECORD = """to_json(named_struct(
@@ -32,7 +32,7 @@ _RECORD = """to_json(named_struct(
 
 
 def records(spark, sf):
-    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("slug"), F.expr(_RECORD).alias("doc"))
+    o = spread_table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("slug"), F.expr(_RECORD).alias("doc"))
     return R.parse_records(o, "doc")
 
 

@@ -9,7 +9,7 @@ from attestry.operators import research as R
 from attestry.operators import scoring as B
 from attestry.operators.keyed import page
 from attestry.plans.q_staging import make, rows, sql
-from attestry.plans.registry import as_int, query, table
+from attestry.plans.registry import as_int, query, spread_table, table
 
 # Field states per order, as (path, position, value_json, status, provenance, evidence given, page).
 _FIELDS = (
@@ -32,7 +32,7 @@ _ST = "s as (" + " union all ".join(
 def states(spark, sf):
     """Nine fields per order; optimizers of every sixth disagree between two sources."""
     cells = ", ".join(f"struct({i} as pos, '{p}' as field_path, {v} as value_json, {st} as status, {pr} as provenance_type, {ev} as ev)" for p, i, v, st, pr, ev in _FIELDS)
-    o = table(spark, sf, "orders").selectExpr("*", f"explode(array({cells})) as c").selectExpr("*", "c.*")
+    o = spread_table(spark, sf, "orders").selectExpr("*", f"explode(array({cells})) as c").selectExpr("*", "c.*")
     conflict = F.expr(f"field_path = 'training.optimizer' and {_CONFLICT}")
     source = lambda claimed, page: F.struct(F.lit("Methods").alias("section"), F.lit(page).alias("page"), F.lit(None).cast("string").alias("locator"), F.lit("seen").alias("evidence"),
                                             F.lit("PRIMARY_PAPER").alias("origin"), F.expr("if(pos = 1 and o_orderkey % 10 = 0, 'late', cast(null as string))").alias("edition_key"), claimed.cast("string").alias("claimed_json"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,6 +43,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table, dealt over all cores if the file has too few splits."""
+    df = table(spark, sf, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def as_int(*names: str):
     """Boolean columns as 0/1, so both engines print them alike."""
     return [F.col(n).cast("int").alias(n) for n in names]

@@ -47,3 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deals the rows of a scan over all cores when it has fewer splits than there are cores.
+
+    For work that is heavy per row over small or unsplittable files. Only the partition count
+    of the scan is looked at; a table with enough splits is returned as it is, unshuffled.
+    Pass a plain scan with the columns needed and nothing computed yet.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
