@@ -65,6 +65,13 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *marked), 256)
 
 
+def canonical_json(value: Column) -> Column:
+    """JSON text of a VARIANT. A whole number written as a decimal keeps its point, so 1 and 1.0 differ."""
+    text = F.to_json(value)
+    decimal = F.schema_of_variant(value).rlike("^(DECIMAL|DOUBLE|FLOAT)") & text.rlike("^-?[0-9]+$")
+    return F.when(decimal, F.concat(text, F.lit(".0"))).otherwise(text)
+
+
 def typed_key(value: Column) -> Column:
     """Groupable key of a VARIANT that keeps 1, 1.0, true and "1" apart."""
     return F.concat(F.schema_of_variant(value), F.lit(":"), F.to_json(value))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import evidence as E
 from attestry.functions import vocabulary as V
-from attestry.functions.identity import stable_id
+from attestry.functions.identity import canonical_json, stable_id
 from attestry.functions.text import contains_ignore_case, entity_key
 from attestry.operators.keyed import lookup
 from attestry.operators.validate import row_rules
@@ -29,7 +29,7 @@ def field_states(records: DataFrame, v: str = "v") -> DataFrame:
     many = F.coalesce(_V("f", "$.sources", f"array<{source}>"), F.array().cast(f"array<{source}>"))
     alternatives = F.coalesce(_V("f", "$.conflict_values", "array<variant>"), F.array().cast("array<variant>"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    claimed = lambda s: F.when(~F.coalesce(F.is_variant_null(s["claimed_value"]), F.lit(True)), F.to_json(s["claimed_value"]))
+    claimed = lambda s: F.when(~F.coalesce(F.is_variant_null(s["claimed_value"]), F.lit(True)), canonical_json(s["claimed_value"]))
     shape = lambda s: F.struct(
         blank(s["section"]).alias("section"), s["page"].alias("page"), blank(s["locator"]).alias("locator"), blank(s["evidence"]).alias("evidence"),
         s["origin"].alias("origin"), blank(s["source_edition_key"]).alias("edition_key"), claimed(s).alias("claimed_json"))
@@ -37,7 +37,7 @@ def field_states(records: DataFrame, v: str = "v") -> DataFrame:
                .when(F.startswith("field_path", F.lit("limitations.")), "AUTHOR_REPORTED_LIMITATION").otherwise("AUTHOR_REPORTED_FACT"))
     return rows.select(
         "paper_id", "edition_id", "pos", "field_path",
-        F.when(value.isNotNull() & ~F.is_variant_null(value), F.to_json(value)).alias("value_json"), F.transform(alternatives, lambda a: F.to_json(a)).alias("conflict_values"),
+        F.when(value.isNotNull() & ~F.is_variant_null(value), canonical_json(value)).alias("value_json"), F.transform(alternatives, lambda a: canonical_json(a)).alias("conflict_values"),
         F.coalesce(text("status"), F.lit("NOT_REPORTED")).alias("status"), F.coalesce(text("provenance_type"), default).alias("provenance_type"),
         F.coalesce(_V("f", "$.confidence", "double"), F.lit(0.0)).alias("confidence"),
         F.transform(F.concat(F.array_compact(F.array(_V("f", "$.source", source))), many), shape).alias("sources"),
@@ -172,7 +172,7 @@ def typed_rows(states: DataFrame, section: str) -> DataFrame:
     rows = states.filter(F.startswith("field_path", F.lit(f"{section}.")))
     # items of a list; alternatives of a conflict stay whole
     parts = F.when(F.col("status") == "CONFLICT", F.col("conflict_values")).when(
-        F.startswith("value_json", F.lit("[")), F.transform(_items(F.col("value_json")), lambda i: F.to_json(i))).otherwise(F.array("value_json"))
+        F.startswith("value_json", F.lit("[")), F.transform(_items(F.col("value_json")), lambda i: canonical_json(i))).otherwise(F.array("value_json"))
     parts = F.when(F.size(parts) == 0, F.array(F.lit(None).cast("string"))).otherwise(parts)
     first = F.get(F.filter("sources", lambda s: F.length(s["evidence"]) > 0), F.lit(0))["evidence"]
     out = rows.select("paper_id", "edition_id", "field_path", "status", "provenance_type", first.alias("_evidence"), F.posexplode(parts).alias("item", "value_json"))

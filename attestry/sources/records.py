@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions.identity import canonical_json
+
 PREDICTION_FIELD = (
     "struct<path:string,value:variant,conflict_values:array<variant>,status:string,"
     "source:variant,sources:array<variant>>"
@@ -73,11 +75,11 @@ def _labelled(f: str) -> list:
     alternatives = F.coalesce(F.try_variant_get(f, "$.conflict_values", "array<variant>"), F.array().cast("array<variant>"))
     shape = lambda s: F.struct(
         s["section"].alias("section"), s["page"].alias("page"), s["locator"].alias("locator"), s["evidence"].alias("evidence"),
-        s["origin"].alias("origin"), F.to_json(s["claimed_value"]).alias("claimed_json"))
+        s["origin"].alias("origin"), canonical_json(s["claimed_value"]).alias("claimed_json"))
     return [
         F.variant_get(f, "$.path", "string").alias("path"), F.variant_get(f, "$.status", "string").alias("status"),
-        F.when(value.isNotNull() & ~F.is_variant_null(value), F.to_json(value)).alias("value_json"),
-        F.transform(alternatives, lambda a: F.to_json(a)).alias("conflict_values"),
+        F.when(value.isNotNull() & ~F.is_variant_null(value), canonical_json(value)).alias("value_json"),
+        F.transform(alternatives, lambda a: canonical_json(a)).alias("conflict_values"),
         F.transform(F.concat(F.array_compact(F.array(one)), many), shape).alias("sources"),
     ]
 
