@@ -32,6 +32,7 @@ def experiment_rows(experiments: DataFrame, methods: DataFrame, datasets: DataFr
         .filter("name is not null").groupBy("slug", "ord").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("d"))
     )
     per_experiment = ["slug", "experiment_id"]
+    # the lists below hold items of one experiment, which came from one record document
     reported = training.filter(F.col("field").isin(*V.TRAINING_ORDER)).groupBy(*per_experiment).agg(F.collect_set("field").alias("reported"))
     measured = results.groupBy(*per_experiment).agg(F.collect_list("metric").alias("metrics"))
     empty = F.array().cast("array<string>")

@@ -31,20 +31,22 @@ def omitted_paths(candidates: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def path_usage(claims: DataFrame) -> DataFrame:
-    """Per path: claims, papers, and the distinct claim types and scopes (both small vocabularies)."""
+    """Per path: claims, papers, the distinct claim types (a small vocabulary), and what its scopes forbid."""
+    scope = F.col("subject_scope")
     return claims.groupBy("field_path").agg(
         F.count("*").alias("n_claims"), F.countDistinct("paper_id").alias("n_papers"),
-        F.array_sort(F.collect_set("claim_type")).alias("types"), F.collect_set("subject_scope").alias("scopes"))
+        F.array_sort(F.collect_set("claim_type")).alias("types"), 
+        F.coalesce(F.bool_or(scope.isin(*V.BLOCKING_SCOPES)), F.lit(False)).alias("blocked_scope"),
+        F.coalesce(F.bool_or(F.contains(F.lower(scope), F.lit("review")) & ~F.contains(F.lower(scope), F.lit("reviewed_"))), F.lit(False)).alias("review_scope"))
 
 
-def _guard(target: Column, types: Column, scopes: Column) -> Column:
+def _guard(target: Column, types: Column, blocked: Column, review: Column) -> Column:
     """Why a path may not be projected into the target, or null."""
     only = lambda *allowed: F.size(F.array_except(types, F.array(*[F.lit(a) for a in allowed]))) == 0
-    review = F.exists(scopes, lambda s: F.contains(F.lower(s), F.lit("review")) & ~F.contains(F.lower(s), F.lit("reviewed_")))
     limitation = F.startswith(target, F.lit("limitations."))
     is_future = target == "limitations.future_work"
     return (
-        F.when(F.arrays_overlap(scopes, F.array(*[F.lit(s) for s in V.BLOCKING_SCOPES])), "BLOCKED_SCOPE")
+        F.when(blocked, "BLOCKED_SCOPE")
         .when(F.startswith(target, F.lit("interpretation.")), F.when(~only("AI_INTERPRETATION"), F.lit("INTERPRETATION_NEEDS_AI_CLAIMS")))
         .when(F.array_contains(types, "AI_INTERPRETATION"), "AI_CLAIM_IN_AUTHOR_FIELD")
         .when(limitation & ~is_future, F.when(~(only("AUTHOR_REPORTED_LIMITATION") & (F.size(types) > 0)), F.lit("NEEDS_LIMITATION_CLAIMS")).when(review, F.lit("REVIEW_LEVEL_LIMITATION")))
@@ -70,8 +72,8 @@ def propose_mappings(mappings: DataFrame, synonyms: DataFrame, unmapped: DataFra
     empty = F.array().cast("array<string>")
     limitation = F.startswith("original_path", F.lit("limitations.")) & F.col("_known").isNull()
     target = F.coalesce("target", F.when(limitation, F.lit("limitations.author_reported")))
-    rows = rows.withColumns({"target": target, "types": F.coalesce("types", empty), "scopes": F.coalesce("scopes", empty), "n_claims": F.coalesce("n_claims", F.lit(0)), "n_papers": F.coalesce("n_papers", F.lit(0))})
-    guard = _guard(F.col("target"), F.col("types"), F.col("scopes"))
+    rows = rows.withColumns({"target": target, "types": F.coalesce("types", empty), "blocked_scope": F.coalesce("blocked_scope", F.lit(False)), "review_scope": F.coalesce("review_scope", F.lit(False)), "n_claims": F.coalesce("n_claims", F.lit(0)), "n_papers": F.coalesce("n_papers", F.lit(0))})
+    guard = _guard(F.col("target"), F.col("types"), F.col("blocked_scope"), F.col("review_scope"))
     reason = (
         F.when(F.col("decision") == "MAPPED", "IDENTITY").when(F.col("_refused"), "REFUSED").when(F.col("n_claims") == 0, "NO_CLAIMS")
         .when(F.col("target").isNotNull(), F.coalesce(guard, F.lit("SYNONYM"))).otherwise("NO_TARGET"))

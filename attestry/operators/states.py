@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from attestry.functions import vocabulary as V
 from attestry.functions.text import blank_to_null
-from attestry.operators.keyed import newest
+from attestry.operators.keyed import newest, repeated
 from attestry.operators.ledger import verification_state
 from attestry.operators.staging import not_pending
-from attestry.operators.validate import row_rules
+from attestry.operators.validate import all_violations, broken, row_rules
 
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
@@ -70,6 +70,31 @@ def audit_event_rules(events: DataFrame, targets: DataFrame) -> DataFrame:
     ])
 
 
+def audit_report_rules(reports: DataFrame, sources: DataFrame, items: DataFrame, papers: DataFrame, claims: DataFrame) -> DataFrame:
+    """What keeps an independent audit report out.
+
+    reports(report_id, report_kind, paper_id, doi); sources(report_id, name, source_kind,
+    sha256, actual_sha256): pinned files, the last column being the hash of what is on disk;
+    items(report_id, claim_id, corroborating_kind, corroborating_sha256). A report names one
+    paper by its own DOI, repeats no claim, and pins every source it leans on.
+    """
+    known = papers.select("paper_id", F.lower("doi").alias("_doi"))
+    heads = row_rules(reports.join(known, "paper_id", "left"), "AUDIT_REPORT", F.col("report_id"), [
+        ("report_kind", ~F.col("report_kind").eqNullSafe(F.lit("INDEPENDENT_SCIENTIFIC_AUDIT")), ""),
+        ("doi_differs", ~F.lower("doi").eqNullSafe(F.col("_doi")), "report DOI is not the paper's"),
+    ])
+    files = row_rules(sources, "AUDIT_REPORT", F.concat_ws("/", "report_id", "name"), [("source_hash", ~F.col("sha256").eqNullSafe(F.col("actual_sha256")), "file is missing or has changed")])
+    named = F.concat_ws("/", "report_id", "claim_id")
+    pins = sources.select("report_id", F.col("source_kind").alias("corroborating_kind"), F.col("sha256").alias("corroborating_sha256"))
+    loose = items.filter(F.coalesce("corroborating_kind", F.lit("")) != "").join(pins, ["report_id", "corroborating_kind", "corroborating_sha256"], "left_anti")
+    owners = claims.select("claim_id", F.col("paper_id").alias("_owner"))
+    placed = items.join(reports.select("report_id", "paper_id"), "report_id").join(owners, "claim_id", "left")
+    return all_violations([
+        heads, files, broken(loose, "corroboration_not_pinned", "AUDIT_REPORT", named), broken(repeated(items, ["report_id", "claim_id"]), "claim_repeated", "AUDIT_REPORT", named),
+        row_rules(placed, "AUDIT_REPORT", named, [("claim_of_other_paper", ~F.col("_owner").eqNullSafe(F.col("paper_id")), "")]),
+    ])
+
+
 def latest_audits(events: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Newest audit per target by absolute time, with ``current``: the audited content still stands.
 

@@ -116,3 +116,28 @@ def record_validity(spark, sf):
 def record_lookup(spark, sf):
     last = table(spark, sf, "orders").agg(F.max("o_orderkey").alias("k")).select(F.concat(F.lit("o"), "k").alias("slug"))
     return walk.papers(records(spark, sf).join(last, "slug", "left_semi")).select("slug", "title")
+
+
+# --- report, label and prediction scans: one document per row ---------------------------
+
+@query("report_scan", """select 's' || doc_id as slug, 'p1' as path, case when quality = 1 then 'CONFIRMED' else 'SUSPECT' end as verdict, 'unknown' as checker from labels
+union all select 's' || doc_id, 'p2', 'UNREADABLE', 'unknown' from labels""")
+def report_scan(spark, sf):
+    doc = """concat('{"checked_at": "2025", "claims": {"p1": {"verdict": "', if(quality = 1, 'CONFIRMED', 'SUSPECT'), '"}, "p2": {"verdict": "UNREADABLE", "reason": "dark"}}}')"""
+    r = table(spark, sf, "labels").select(F.concat(F.lit("s"), "doc_id").alias("slug"), F.parse_json(F.expr(doc)).alias("v"))
+    return R.explode_reports(r).select("slug", "path", "verdict", "checker")
+
+
+@query("golden_scan", """select 'g' || doc_id as paper_id, 'data' as family, 'data.quality' as path, 'VERIFIED' as status, quality::varchar as value_json, 0 as n_conflict, 2 as n_sources from labels
+union all select 'g' || doc_id, 'results', 'results.toxic', 'CONFLICT', '', 2, 1 from labels""")
+def golden_scan(spark, sf):
+    doc = """concat('{"paper": {"id": "g', doc_id, '"}, "fields": [{"path": "data.quality", "family": "data", "status": "VERIFIED", "value": ', quality, ', "source": {"page": 1, "evidence": "e"}, "sources": [{"page": 2}]}, {"path": "results.toxic", "family": "results", "status": "CONFLICT", "value": null, "conflict_values": [0, 1.0], "source": {"page": 1, "claimed_value": 0}}]}')"""
+    g = R.explode_golden(table(spark, sf, "labels").select(F.parse_json(F.expr(doc)).alias("v")))
+    return g.select("paper_id", "family", "path", "status", F.coalesce("value_json", F.lit("")).alias("value_json"), F.size("conflict_values").alias("n_conflict"), F.size("sources").alias("n_sources"))
+
+
+@query("prediction_scan", """select 'g' || doc_id as paper_id, 'data.quality' as path, 'NOT_VERIFIED' as status, quality::varchar || '.0' as value_json from labels union all select 'h' || doc_id, 'x.y', 'NOT_REPORTED', '' from labels""")
+def prediction_scan(spark, sf):
+    doc = """concat('{"predictions": [{"paper_id": "g', doc_id, '", "fields": [{"path": "data.quality", "status": "NOT_VERIFIED", "value": ', quality, '.0}]}, {"paper_id": "h', doc_id, '", "fields": [{"path": "x.y", "status": "NOT_REPORTED"}]}]}')"""
+    p = R.require_distinct(R.explode_predictions(table(spark, sf, "labels").select(F.parse_json(F.expr(doc)).alias("v"))).withColumn("key", F.concat_ws("/", "paper_id", "path")), "key")
+    return p.select("paper_id", "path", "status", F.coalesce("value_json", F.lit("")).alias("value_json"))

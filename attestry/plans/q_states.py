@@ -304,3 +304,18 @@ def mapping_audit_rules(spark, sf):
     packets = table(spark, sf, "orders").selectExpr("'b' || (o_orderkey % 40) as original_path").distinct().selectExpr("original_path", "sha2(original_path, 256) as packet_sha256", "'producer' as producer_id", "'MAPPED' as proposed_decision", "'t0' as proposed_path")
     known = table(spark, sf, "region").filter("r_regionkey < 2").selectExpr("'t' || r_regionkey as field_path")
     return M.mapping_audit_rules(r, packets, known).groupBy("rule").agg(F.count("*").alias("n"), F.min(F.col("key").cast("bigint")).alias("first_event"))
+
+
+@query("audit_report_rules", """with r as (select c_custkey as id from customer)
+select 'report_kind' as rule, count(*) as n from r where id % 17 = 0 union all select 'doi_differs', count(*) from r where id % 13 = 0 union all select 'source_hash', count(*) from r where id % 11 = 0
+union all select 'corroboration_not_pinned', count(*) from orders where o_orderkey % 3 = 0 and o_orderkey % 7 = 0 union all select 'claim_repeated', count(*) from orders where o_orderkey % 29 = 0
+union all select 'claim_of_other_paper', count_if(o_orderkey % 23 = 0) + count_if(o_orderkey % 23 = 0 and o_orderkey % 29 = 0) from orders""")
+def audit_report_rules(spark, sf):
+    """Each customer's orders are the claims of one report."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    reports = c.selectExpr("c_custkey as report_id", "if(c_custkey % 17 = 0, 'DRAFT', 'INDEPENDENT_SCIENTIFIC_AUDIT') as report_kind", "c_custkey as paper_id", "if(c_custkey % 13 = 0, '10.1/other', concat('10.1/P', c_custkey)) as doi")
+    sources = c.selectExpr("c_custkey as report_id", "'main' as name", "'PRIMARY_PAPER' as source_kind", "'aa' as sha256", "if(c_custkey % 11 = 0, 'bb', 'aa') as actual_sha256")
+    items = o.selectExpr("o_custkey as report_id", "o_orderkey as claim_id", "if(o_orderkey % 3 = 0, 'PRIMARY_PAPER', '') as corroborating_kind", "if(o_orderkey % 7 = 0, 'zz', 'aa') as corroborating_sha256")
+    items = items.unionByName(items.filter("claim_id % 29 = 0").withColumns({"corroborating_kind": F.lit("")}))
+    claims = o.selectExpr("o_orderkey as claim_id", "if(o_orderkey % 23 = 0, -1, o_custkey) as paper_id")
+    return T.audit_report_rules(reports, sources, items, c.selectExpr("c_custkey as paper_id", "concat('10.1/p', c_custkey) as doi"), claims).groupBy("rule").agg(F.count("*").alias("n"))
