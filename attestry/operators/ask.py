@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from attestry.functions import vocabulary as V
 from attestry.functions.text import fold_question
 from attestry.operators.analytics import entity_experiments
+from attestry.session import cut_lineage
 
 KINDS = ("task", "family", "dataset_group", "variable", "method")
 
@@ -122,8 +123,10 @@ def answers(parsed: DataFrame, experiments: DataFrame, limitations: DataFrame, s
     ``shared_cells`` (one row, column ``shared``) is the measured number of comparable cells:
     a ranking is declined while it is zero.
     """
-    asked = _signature(parsed.filter("understood"))
-    hits = match_experiments(parsed, experiments)
+    # questions with their filters, and the papers each distinct filter meets: both are read
+    # several times below and neither holds text
+    asked = cut_lineage(_signature(parsed.filter("understood")))
+    hits = cut_lineage(match_experiments(asked, experiments))
     sums = hits.groupBy("signature").agg(F.count("*").alias("papers"), F.sum("n_experiments").alias("experiments"), F.sum("n_results").alias("results"), *[F.sum(f"n_{f}").alias(f"n_{f}") for f in V.FIELD_WORDS])
     rows = asked.join(sums, "signature", "left")
     z = lambda c: F.coalesce(c, F.lit(0))

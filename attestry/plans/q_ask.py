@@ -11,7 +11,7 @@ from attestry.plans.registry import as_int, query, spread_table, table
 
 def experiments(spark, sf):
     """A document is an experiment: its first words name task, family, method and variable."""
-    d = table(spark, sf, "documents").withColumn("t", F.split(fold_question(F.left("text", F.lit(400))), " "))
+    d = spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text").withColumn("t", F.split(fold_question(F.left("text", F.lit(400))), " "))
     word = lambda i: F.nullif(F.get("t", F.lit(i)), F.lit(""))
     return d.select(
         F.col("source").alias("slug"), F.col("doc_id").alias("ord"), word(0).alias("task"), word(1).alias("family"), F.nullif(F.array_join(F.slice("t", 3, 2), " "), F.lit("")).alias("method"),
@@ -24,7 +24,7 @@ _EXTRA = "case conv_id % 9 when 0 then ' learning rate loss' when 1 then ' best
 
 
 def questions(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread_table(spark, sf, "conversations", "conv_id", "turn", "text")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(F.coalesce("text", F.lit("")), F.expr(_EXTRA)).alias("text"))
 
 
