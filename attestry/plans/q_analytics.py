@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestry.operators import analytics as A
-from attestry.plans.q_ledger import claims, decorated, _CLAIMS, _REQUESTS
-from attestry.operators.ledger import audit_progress_by
+from attestry.plans.q_ledger import _CLAIMS, _REQUESTS, decorated
 from attestry.plans.registry import query, spread_table, table
 
 _REPORTED = ("if(l_discount > 0.02, 'learning_rate', null)", "if(l_tax > 0.03, 'batch_size', null)", "if(l_quantity > 25, 'epochs', null)",

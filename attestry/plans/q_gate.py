@@ -264,7 +264,6 @@ def dataset_groups(spark, sf):
     return p.groupBy(R.dataset_group(F.col("name")).alias("dataset_group")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
-_PATH = "lower(p_type) || '.' || replace(p_name, ' ', '_')"
 _THEME_PATH = """case p_partkey % 6 when 0 then 'training.' when 1 then 'loss.' when 2 then 'metrics.' when 3 then 'rl.' when 4 then 'future_work.' else 'misc.' end || replace(p_name, ' ', '_')"""
 
 

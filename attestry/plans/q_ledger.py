@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from attestry.functions import vocabulary as V
-from attestry.functions.identity import stable_id
 from attestry.functions.text import json_text
 from attestry.operators import ledger as L
 from attestry.operators.keyed import newest, page

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +89,3 @@ def document_fingerprints(rows: DataFrame) -> DataFrame:
     h = F.sha2("row_json", 256)
     part = lambda i: F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.groupBy("name").agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13), part(25)), 256).alias("fingerprint"))
-
-
-def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
-    return [c for c in wanted if c not in df.columns]
