@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from attestry.plans import registry
 from parity import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -17,10 +18,10 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
     text, ok, _ = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, text
