@@ -5,8 +5,10 @@
 2. Texts with the same set form one class, named by its smallest id; only classes go on.
 3. Band keys are grouped. In each, members meet the one that shares most buckets with others (round one: its
    best such partner; round two: all of them). Signatures screen, full sets confirm, and large-star and small-star connect.
-4. What is left are buckets whose members lie in different components: there all pairs across
-   components are screened and confirmed. Pairs within a component can change nothing and are never formed.
+4. What is left are buckets whose members lie in different components. Pairs that share a shingle which
+   few members have (``most``) are looked up by it. A pair that shares none can have only the other shingles in common, which bounds
+   its similarity: members that can reach nothing in a bucket leave it, and of the others only pairs across components
+   that can still link are screened and confirmed. Pairs within a component change nothing and are never formed.
 
 So a link is lost only if its pair shares no band (chance 5e-6 at similarity 0.75, less above) or its
 signatures differ by over ``max_bits`` (16 expected at 0.75; 36 is over five deviations away).
@@ -107,19 +109,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return two.select("u", "v", "set_u", "set_v").mapInArrow(check, "u long, v long").distinct()
 
 
+def rare_shingles(sets: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(shingle, doc_id) of the shingles that at most ``most`` of these sets have."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([s.as_buffer().size // 8 for s in batch.column(1)], dtype=np.int64)
+            for begin in range(0, batch.num_rows, 1000):
+                part = slice(begin, begin + 1000)
+                own = np.repeat(batch.column(0).to_numpy()[part], size[part])
+                flat = np.frombuffer(b"".join(s.as_py() for s in batch.column(1)[part]), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(flat, pa.int64())], names=["doc_id", "shingle"])
+
+    rows = sets.join(ids, "doc_id", "left_semi").select("doc_id", "members").mapInArrow(unpack, "doc_id long, shingle long")
+    few = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("shingle")
+    return rows.join(few, "shingle")
+
+
 def _differing(a: str, b: str):
     return F.bit_count(F.col(f"{a}.bits_a").bitwiseXOR(F.col(f"{b}.bits_a"))) + F.bit_count(F.col(f"{a}.bits_b").bitwiseXOR(F.col(f"{b}.bits_b")))
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits: int = 36) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits: int = 36, most: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable, its own included), kept."""
     found = stored(sketches(docs, width), "minhash-sketches")
     named = found.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class"))
+    classes = cut_lineage(named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class")))
     # Ids that stand for several sets (repeated ids) and copies are links without a search.
     same = cut_lineage(named.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "class").distinct())
     nodes = named.join(same.select(F.col("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bits = cut_lineage(nodes.select("doc_id", "bits_a", "bits_b").dropDuplicates())
+    bits = cut_lineage(nodes.select("doc_id", "n_shingles", "bits_a", "bits_b").dropDuplicates())
     members = nodes.select("doc_id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = cut_lineage(members.join(shared, "key").select("key", "doc_id", "n").distinct())
@@ -127,9 +146,12 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
     pivots = buckets.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot"))
     stars = buckets.join(pivots, "key").filter("doc_id <> pivot").groupBy(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("votes"))
 
+    sizes = F.col("a.n_shingles"), F.col("b.n_shingles")
+    alike = (_differing("a", "b") <= max_bits) & (100 * F.least(*sizes) >= share * F.greatest(*sizes))
+
     def screened(pairs: DataFrame) -> DataFrame:
         a, b = bits.alias("a"), bits.alias("b")
-        near = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).filter(_differing("a", "b") <= max_bits)
+        near = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).filter(alike)
         return near.select(*pairs.columns)
 
     stars = cut_lineage(screened(stars))
@@ -152,9 +174,24 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
     placed = cut_lineage(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     wide = cut_lineage(placed.join(mixed, "key", "left_semi").join(bits, "doc_id"))
-    a, b = wide.alias("a"), wide.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & (_differing("a", "b") <= max_bits))
-    pairs = pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    rare = cut_lineage(rare_shingles(sets, wide.select("doc_id").distinct(), most))
+    alone = rare.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    a, b = rare.alias("a"), rare.alias("b")
+    near = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    near = across(screened(near), joined)
+    wide = wide.join(alone, "doc_id", "left").withColumn("able", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    least = wide.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    # a pair without a rare shingle in common shares at most ``able``: with no partner this small in the bucket, none can reach the share
+    wide = cut_lineage(wide.join(least, "key").filter((100 + share) * F.col("able") - share * F.col("n_shingles") >= share * F.col("least")).drop("alone", "least"))
+    major = wide.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("major"), F.count("*").alias("parts"))
+    wide = cut_lineage(wide.join(major.filter("parts > 1").drop("parts"), "key"))
+    # every pair across components has an end outside the bucket's largest one
+    a, b = wide.filter("component <> major").alias("a"), wide.alias("b")
+    common = F.least("a.able", "b.able")
+    once = (F.col("b.component") == F.col("b.major")) | (F.col("a.component") < F.col("b.component"))
+    reach = 100 * common >= share * (F.col("a.n_shingles") + F.col("b.n_shingles") - common)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & reach & alike)
+    pairs = cut_lineage(pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).union(near).distinct())
     links = links.union(confirmed(pairs, sets, share))
 
     copies = same.select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
