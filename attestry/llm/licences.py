@@ -78,9 +78,9 @@ def licensed(files: DataFrame, least: float = 0.6, licence_file: str = r"(?i)/(l
     rows = files.select("doc_id", F.col("path").cast("string").alias("path"), passages(F.col("text").cast("string")).alias("lines"))
     each = rows.select("doc_id", "path", F.explode("lines").alias("line")).distinct()
     scored = each.join(scores(each, least), "line")
-    own = scored.groupBy("doc_id", "path").agg(F.max(F.struct("cosine", "licence")).alias("b")).select("doc_id", "path", "b.licence", "b.cosine")
+    own = scored.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "licence")).alias("b")).select("doc_id", "path", "b.licence", (-F.col("b.far")).alias("cosine"))
     held = own.filter(F.col("path").rlike(licence_file)).select(parent(F.col("path")).alias("above"), "licence", "cosine").filter("above is not null")
-    held = held.groupBy("above").agg(F.max(F.struct("cosine", "licence"))["licence"].alias("given"))
+    held = held.groupBy("above").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "licence"))["licence"].alias("given"))
     dirs = rows.select(parent(F.col("path")).alias("dir")).filter("dir is not null").distinct()
     up = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("above")).join(held, "above")
     nearest = up.groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "given")).alias("b")).select("dir", F.col("b.above").alias("above"), F.col("b.given").alias("given"))

@@ -185,12 +185,14 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
     wide = cut_lineage(wide.join(least, "key").filter((100 + share) * F.col("able") - share * F.col("n_shingles") >= share * F.col("least")).drop("alone", "least"))
     major = wide.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("major"), F.count("*").alias("parts"))
     wide = cut_lineage(wide.join(major.filter("parts > 1").drop("parts"), "key"))
+    wide = wide.join(wide.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")  # at most one key per band
     # every pair across components has an end outside the bucket's largest one
     a, b = wide.filter("component <> major").alias("a"), wide.alias("b")
     common = F.least("a.able", "b.able")
     once = (F.col("b.component") == F.col("b.major")) | (F.col("a.component") < F.col("b.component"))
     reach = 100 * common >= share * (F.col("a.n_shingles") + F.col("b.n_shingles") - common)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & reach & alike)
+    first_key = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # a pair is formed in one bucket only
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & reach & alike & first_key)
     pairs = cut_lineage(pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).union(near).distinct())
     links = links.union(confirmed(pairs, sets, share))
 
