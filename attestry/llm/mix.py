@@ -107,7 +107,7 @@ def schedule(blocks: DataFrame, weights: dict[str, int]) -> DataFrame:
     )
 
 
-def mixed(rows: DataFrame, keys: list[str], source: str, weights: dict[str, int], block_rows: int = 64, per_bucket: int = 100_000) -> DataFrame:
+def mixed(rows: DataFrame, keys: list[str], source: str, weights: dict[str, int], block_rows: int = 64, per_bucket: int = 4096) -> DataFrame:
     """The key columns and the source of every row with ``block`` (within its source), ``slot`` and the gapless ``position``.
 
     ``keys`` should tell rows apart; rows that agree in all of them are interchangeable.

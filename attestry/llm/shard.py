@@ -59,7 +59,7 @@ def permuted(number: Column, rows: int, seed: int, rounds: int = ROUNDS) -> Colu
     return let(inside, lambda x: F.when(x < rows, x).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))
 
 
-def numbered(df: DataFrame, keys: list[str], per_bucket: int = 100_000, column: str = "row_number") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], per_bucket: int = 4096, column: str = "row_number") -> DataFrame:
     """The key columns of every row with its global number from 0; independent of the order and layout of the rows."""
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = df.count()
