@@ -88,8 +88,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: flo
     known = rows.filter("given is not null").select(tokens(F.col("url")).alias("tokens"), (F.col("given") == "block").alias("block"))
     open_ = rows.filter("given is null and url is not null").select("url").distinct().withColumn("tokens", tokens(F.col("url")))
     found = match(open_, mine(known, min_support, min_confidence))
-    # a page judged by the list keeps its own key out of the join
-    key = F.when(F.col("given").isNull(), F.col("url"))
-    joined = rows.withColumn("_key", key).join(found.withColumnRenamed("url", "_key"), "_key", "left")
+    asked = F.col("given").isNull() & F.col("url").isNotNull()  # only these pages meet the mined rules
+    settled = rows.filter(~asked).withColumns({"mined_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    joined = rows.filter(asked).join(found.drop("support"), "url", "left").unionByName(settled)
     final = F.coalesce("given", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", final.alias("verdict"), "mined_rule", "confidence")
