@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.common import stored
+
 # Licence names and short notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -76,6 +78,7 @@ def ancestors(directory: Column) -> Column:
 def licensed(files: DataFrame, least: float = 0.6, licence_file: str = r"(?i)/(licen[sc]e|copying)(\.\w+)?$") -> DataFrame:
     """doc_id, path, licence, cosine, origin (own, inherited or none) and the directory it comes from."""
     rows = files.select("doc_id", F.col("path").cast("string").alias("path"), passages(F.col("text").cast("string")).alias("lines"))
+    rows = stored(rows, "licence-passages")  # texts are read once
     each = rows.select("doc_id", "path", F.explode("lines").alias("line")).distinct()
     scored = each.join(scores(each, least), "line")
     own = scored.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "licence")).alias("b")).select("doc_id", "path", "b.licence", (-F.col("b.far")).alias("cosine"))
