@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return inner.union(low.select("u", F.col("low").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, per_part: int = 100_000) -> DataFrame:
     """(node, component) for every node of the links ``(u, v)``; the component is its smallest node.
 
     Self links and repeated links are allowed; links with a null end are ignored.
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(edges)
     before = edges.agg(*state).first()
     while before["n"]:
-        edges = cut_lineage(_small_star(_large_star(edges)))
+        parts = 1 + before["n"] // per_part  # few edges are not spread over many files
+        edges = cut_lineage(_small_star(_large_star(edges.coalesce(parts))).coalesce(parts))
         after = edges.agg(*state).first()
         if after == before:
             break

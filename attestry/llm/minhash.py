@@ -3,8 +3,8 @@
 1. Each text gives its set of word shingles, 128 universal-hash minima (``a*x + b`` modulo 2**64), 32 band
    keys of four minima, and a 128-bit signature (the lowest bit of each minimum).
 2. Texts with the same set form one class, named by its smallest id; only classes go on.
-3. Band keys are grouped. In each, members meet the one that shares most buckets with others (round one: its
-   best such partner; round two: all of them). Signatures screen, full sets confirm, and large-star and small-star connect.
+3. Band keys are grouped. In each, members meet the one that shares most buckets with others. Signatures screen, full sets
+   confirm, and large-star and small-star connect.
 4. What is left are buckets whose members lie in different components. Pairs that share a shingle which
    few members have (``most``) are looked up by it. A pair that shares none can have only the other shingles in common, which bounds
    its similarity: members that can reach nothing in a bucket leave it, and of the others only pairs across components
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
     buckets = cut_lineage(members.join(shared, "key").select("key", "doc_id", "n").distinct())
     weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     pivots = buckets.join(weight, "doc_id").groupBy("key").agg(F.max_by("doc_id", "weight").alias("pivot"))
-    stars = buckets.join(pivots, "key").filter("doc_id <> pivot").groupBy(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).agg(F.count("*").alias("votes"))
+    stars = buckets.join(pivots, "key").filter("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")).distinct()
 
     sizes = F.col("a.n_shingles"), F.col("b.n_shingles")
     alike = (_differing("a", "b") <= max_bits) & (100 * F.least(*sizes) >= share * F.greatest(*sizes))
@@ -157,8 +157,8 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
     stars = cut_lineage(screened(stars))
     sets = stored(shingle_table(docs, buckets.select("doc_id").distinct(), width), "minhash-sets")
 
-    first = stars.groupBy("u").agg(F.max_by("v", "votes").alias("v"))
-    links = cut_lineage(confirmed(first, sets, share))
+    links = cut_lineage(confirmed(stars.select("u", "v"), sets, share))
+    joined = cut_lineage(components(links))
 
     def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Pairs whose ends are not connected yet."""
@@ -167,9 +167,6 @@ def near_duplicates(docs: DataFrame, share: int = 75, width: int = 5, max_bits:
         open_ = pairs.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
         return open_.select("u", "v")
 
-    joined = cut_lineage(components(links))
-    links = cut_lineage(links.union(confirmed(across(stars.select("u", "v"), joined), sets, share)))
-    joined = cut_lineage(components(links))
     placed = buckets.select("key", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = cut_lineage(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
