@@ -38,7 +38,7 @@ def extract(sentence_rows: DataFrame, rules=V.EXTRACTION_RULES) -> DataFrame:
     for n, (pattern, path, is_list) in enumerate(rules):
         raw = F.regexp_extract(s, "(?i)" + pattern, 1)
         text = F.regexp_replace(raw, EDGES, "")
-        value = _list_json(text) if is_list else (F.try_to_number(text, F.lit("9" * 18)).cast("string") if path == "training.batch_size" else json_text(text))
+        value = _list_json(text) if is_list else (F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=.)", "")) if path == "training.batch_size" else json_text(text))
         hits.append(F.when(raw != "", F.struct(F.lit(n).alias("rule"), F.lit(path).alias("field_path"), value.alias("value_json"))))
     found = lambda pattern: F.array_distinct(F.regexp_extract_all(s, F.lit("(?i)" + pattern), F.lit(0)))
     listed = lambda n, path, when, pattern: F.when(when & (F.size(found(pattern)) > 0), F.struct(F.lit(n).alias("rule"), F.lit(path).alias("field_path"), F.to_json(found(pattern)).alias("value_json")))

@@ -98,11 +98,18 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, accuracy: int =
         F.when(F.col("_n") < accuracy, F.col("min_value")).otherwise(F.col("_b")[0]).alias("_lo"),
         F.when(F.col("_n") < accuracy, F.col("max_value")).otherwise(F.col("_b")[1]).alias("_hi"),
     )
-    near = present.join(bounds.select(*keys, "_lo", "_hi"), list(keys)).filter(F.col("_v") <= F.col("_hi"))
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        """By key, where null is a key like any other."""
+        other = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+        return left.join(other, same).drop(*[f"_key_{k}" for k in keys])
+
+    near = joined(present, bounds.select(*keys, "_lo", "_hi")).filter(F.col("_v") <= F.col("_hi"))
     # values below the bracket collapse to one row per key before the shuffle
     counted = near.groupBy(*keys, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_to", F.sum("_c").over(w)).join(bounds, list(keys))
+    ranked = counted.withColumn("_to", F.sum("_c").over(w))
+    ranked = joined(ranked, bounds)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     at = lambda r: F.min(F.when(F.col("_to") >= r, F.col("_v")))
     return ranked.groupBy(*keys).agg(

@@ -27,7 +27,7 @@ def _stream(spark, sf, name):
 def stream_intake(spark, sf):
     e = _stream(spark, sf, "events").selectExpr("*", "explode(array(0, 1)) as copy").drop("copy")
     out = _work(spark)
-    T.write_batches(T.intake(e, delay="40 days"), f"{out}/t", f"{out}/c", "append")
+    T.write_batches(T.intake(e), f"{out}/t", f"{out}/c", "append")
     return spark.read.parquet(f"{out}/t").select("event_id", "user_id", "event_type")
 
 

@@ -25,9 +25,14 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return reader.parquet(folder)
 
 
-def intake(events: DataFrame, at: str = "ts", key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """Each event once: repeats within the allowed delay are dropped."""
-    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def intake(events: DataFrame, at: str = "ts", key: str = "event_id", delay: str | None = None) -> DataFrame:
+    """Each event once, whenever it arrives.
+
+    Without ``delay`` all ids seen are kept as state and no event is lost. With a delay the state is bounded by it, but an event
+    that comes later than that is dropped: only for sources that promise not to be later.
+    """
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
+    return events.dropDuplicates([key]) if delay is None else events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
 def latest_decisions(events: DataFrame, target: str, at: str, event_id: str, *carry: str) -> DataFrame:

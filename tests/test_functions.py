@@ -109,3 +109,19 @@ def test_plausible_conflicts(spark):
     assert not verdict("data.spatial_resolution", ['"a b"', '"c"'], two)
     assert verdict("data.spatial_resolution", ['"1/4°"', '"9 km"'], [source('"1/4°"'), source('"9 km"')])
     assert not verdict("x.y", ['"a b"', '"c"'], [source('"a b"'), source('"c"', "OTHER")])
+
+
+def test_supports_reads_lists_of_any_depth(spark):
+    from attestry.functions.numbers import supports
+
+    for depth in range(1, 9):
+        row = spark.range(1).select(*(supports(F.parse_json(F.lit("[" * depth + v + "]" * depth)), F.lit("the model uses adam here")) for v in ('"zzz"', '"adam"', "7"))).first()
+        assert tuple(row) == (False, True, False)
+
+
+def test_exact_median_keeps_the_null_key(spark):
+    from attestry.operators import keyed
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "k string, v double")
+    got = {r["k"]: r["median_value"] for r in keyed.exact_median(rows, ["k"], "v").collect()}
+    assert got == {"a": 2.0, None: 6.0}
