@@ -20,7 +20,8 @@ def _work(spark):
 
 
 def _stream(spark, sf, name):
-    return T.read_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    # as a pattern the path may be one file or a folder of parts
+    return T.read_stream(spark, f"{sf}/{name}[.]parquet", table(spark, sf, name).schema)
 
 
 @query("stream_intake", "select event_id, user_id, event_type from events")
