@@ -34,7 +34,7 @@ def experiment_rows(experiments: DataFrame, methods: DataFrame, datasets: DataFr
     per_experiment = ["slug", "experiment_id"]
     # the lists below hold items of one experiment, which came from one record document
     reported = training.filter(F.col("field").isin(*V.TRAINING_ORDER)).groupBy(*per_experiment).agg(F.collect_set("field").alias("reported"))
-    measured = results.groupBy(*per_experiment).agg(F.collect_list("metric").alias("metrics"))
+    measured = results.groupBy(*per_experiment).agg(F.collect_list(F.struct("metric"))["metric"].alias("metrics"))  # a result without a metric counts too
     empty = F.array().cast("array<string>")
     return (
         experiments.join(kept, "slug", "left_semi")
@@ -169,7 +169,7 @@ def entity_facets(experiments: DataFrame, top: int = 8) -> DataFrame:
     each = lambda facet, cs: F.transform(cs, lambda v: cell(facet, v))
     facets = F.concat(
         F.array(cell("tasks", F.col("task")), cell("families", F.col("family")), cell("variables", F.col("variable")), cell("methods", F.col("method"))),
-        each("datasets", F.col("datasets")), each("metrics", F.col("metrics")))
+        each("datasets", F.col("datasets")), each("metrics", F.array_compact("metrics")))
     rows = entity_experiments(experiments).select("kind", "name", "slug", "ord", F.explode(facets).alias("f"))
     # counted per paper first: plain counts and positions aggregate in a hash table, and the far
     # fewer rows that remain settle which paper came first

@@ -32,12 +32,15 @@ def test_claims_cover_exactly_the_evidenced_nodes(spark):
     assert lr.fingerprint != loss.fingerprint
 
 
-def test_generic_walk_agrees_and_refuses_to_stop_early(spark):
+def test_generic_walk_agrees_at_any_depth(spark):
     df = load(spark, RECORD)
     paths = lambda d: {r.path for r in d.collect()}
     assert paths(W.walk_anywhere(df)) == paths(W.claims(df, provenance=True))
-    with pytest.raises(Exception, match="nested deeper"):
-        W.walk_anywhere(df, depth=2).collect()
+    assert paths(W.walk_anywhere(df, levels=1)) == paths(W.walk_anywhere(df))
+    deep = {"page_pdf": 1, "quote": "q", "value": 1}
+    for _ in range(25):
+        deep = {"a": [deep]}
+    assert paths(W.walk_anywhere(load(spark, deep))) == {".".join(["a[0]"] * 25)}
 
 
 def test_records_without_arrays_and_broken_files(spark):
