@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions.text import json_text
 
@@ -50,10 +54,30 @@ def row_fingerprint(row: Column) -> Column:
     return F.sha2(F.to_json(row), 256)
 
 
+# JSON values whose text is the same in every ledger: strings, integers, names, short decimals.
+SETTLED = r'^(?:".*"|-?(?:0|[1-9][0-9]*)|true|false|null|-?(?:0|[1-9][0-9]{0,8})\.(?:[0-9]{0,2}[1-9]|0))$'
+
+
+@F.pandas_udf(T.StringType())
+def _ledger_json(values: pd.Series) -> pd.Series:
+    def text(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return value
+
+    return values.map(text)
+
+
+def ledger_json(value_json: Column) -> Column:
+    """JSON as ledgers hash it: sorted keys, a space after commas and colons, shortest floats. Only lists, objects and long floats go through Arrow."""
+    return F.coalesce(_ledger_json(F.when(~value_json.rlike("(?s)" + SETTLED), value_json)), value_json)
+
+
 def claim_fingerprint(value_json: Column, quote: Column) -> Column:
     """Identity of what a verdict was given on: the value and the quote, nothing else."""
     payload = F.concat(
-        F.lit("["), F.coalesce(value_json, F.lit("null")), F.lit(", "),
+        F.lit("["), F.coalesce(ledger_json(value_json), F.lit("null")), F.lit(", "),
         json_text(F.coalesce(quote, F.lit(""))), F.lit("]"),
     )
     return F.substring(F.sha2(payload, 256), 1, 16)

@@ -22,21 +22,33 @@ JOIN_HYPHEN = f"({WORD_CHAR})[-{DASHES}]{WHITESPACE}({WORD_CHAR})"
 NOT_ALNUM = "[^0-9a-zA-Z]+"
 
 
+# Characters that normalisation leaves as they are and that never join with a neighbour.
+STABLE = r"\x00-\x7FÆÐ×ØÞßæð÷øþ\u2013\u2014\u2018-\u201E\u2020-\u2022\u4E00-\u9FFF"
+COMPOSED = STABLE + "À-ÖÙ-Ýà-öù-ýÿ"
+
+
 def _unicode_form(form: str):
     @F.pandas_udf(T.StringType())
     def normal_form(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
     return normal_form
 
 
+def _normalised(form: str, text: Column, stable: str) -> Column:
+    """Only texts with other than ``stable`` characters go through Arrow; the rest are sent as nulls and kept as they are."""
+    return F.coalesce(_unicode_form(form)(F.when(text.rlike(f"[^{stable}]"), text)), text)
+
+
 def compatibility_form(text: Column) -> Column:
-    """NFKC through Arrow: the one Unicode step Spark has no built-in for."""
-    return _unicode_form("NFKC")(text)
+    """NFKC: the one Unicode step Spark has no built-in for."""
+    return _normalised("NFKC", _expand_ligatures(text), COMPOSED)
 
 
-def decomposed_form(text: Column) -> Column:
-    return _unicode_form("NFKD")(text)
+def base_letters(text: Column) -> Column:
+    """NFKD without marks. Latin-1 letters are settled natively."""
+    plain = F.translate(text, ACCENTED, UNACCENTED)
+    return F.regexp_replace(_normalised("NFKD", plain, STABLE), r"\p{M}+", "")
 
 
 def _expand_ligatures(text: Column) -> Column:
@@ -46,42 +58,36 @@ def _expand_ligatures(text: Column) -> Column:
     return out
 
 
-def normalise_quote(text: Column, unicode_forms: bool = False) -> Column:
-    """Comparable form of a page or a quote.
+def comparable(text: Column) -> Column:
+    """Comparable form of a text that is already in compatibility form; native, so it may stand inside a lambda.
 
     Hyphenation across a line break is undone, every run of other characters than ASCII
     letters and digits becomes one space, and case is dropped. Quote marks need no folding
-    of their own, because they end up as spaces either way. ``unicode_forms`` adds the
-    Arrow NFKC step for sources with compatibility or decomposed characters.
+    of their own, because they end up as spaces either way.
     """
-    out = compatibility_form(text) if unicode_forms else _expand_ligatures(text)
-    out = F.regexp_replace(out, JOIN_HYPHEN, "$1$2")
+    out = F.regexp_replace(text, JOIN_HYPHEN, "$1$2")
     return F.lower(F.trim(F.regexp_replace(out, NOT_ALNUM, " ")))
 
 
-def fold_question(text: Column, unicode_forms: bool = False) -> Column:
+def normalise_quote(text: Column) -> Column:
+    """Comparable form of a page or a quote."""
+    return comparable(compatibility_form(text))
+
+
+def fold_question(text: Column) -> Column:
     """Accents reduced to base letters, punctuation to spaces, lower case."""
-    if unicode_forms:
-        out = F.regexp_replace(decomposed_form(text), r"\p{M}+", "")
-    else:
-        out = F.translate(text, ACCENTED, UNACCENTED)
-    return F.lower(F.trim(F.regexp_replace(out, NOT_ALNUM, " ")))
+    return F.lower(F.trim(F.regexp_replace(base_letters(text), NOT_ALNUM, " ")))
 
 
-def title_key(text: Column, unicode_forms: bool = False) -> Column:
+def title_key(text: Column) -> Column:
     """Case- and punctuation-free title; null when nothing is left."""
-    if unicode_forms:
-        out = F.regexp_replace(decomposed_form(text), r"\p{M}+", "")
-    else:
-        out = F.translate(text, ACCENTED, UNACCENTED)
-    out = F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))
+    out = F.replace(F.lower(base_letters(text)), F.lit("ß"), F.lit("ss"))
     return F.nullif(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(""))
 
 
-def entity_key(text: Column, unicode_forms: bool = False) -> Column:
-    """Whitespace collapsed, case kept: case is data for units and symbols."""
-    out = compatibility_form(text) if unicode_forms else text
-    return F.trim(F.regexp_replace(out, WHITESPACE, " "))
+def entity_key(text: Column) -> Column:
+    """Compatibility form, whitespace collapsed, case kept: case is data for units and symbols."""
+    return F.trim(F.regexp_replace(compatibility_form(text), WHITESPACE, " "))
 
 
 def blank_to_null(text: Column) -> Column:

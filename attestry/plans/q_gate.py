@@ -131,11 +131,14 @@ def content_already_held(spark, sf):
     return d.filter("doc_id % 2 = 1").join(held, "digest", "left").select("doc_id", F.coalesce("held_as", F.lit(-1)).alias("held_as"))
 
 
+_LIST = "'[' || coalesce(to_json(lang)::varchar, 'null') || ', ' || coalesce(to_json(source)::varchar, 'null') || ']'"
+
+
 @query("claim_fingerprint", f"""
-select doc_id, {S.fingerprint("to_json(lang)::varchar", "substring(text, 1, 200)")} as fingerprint from documents""")
+select doc_id, {S.fingerprint(_LIST, "text")} as fingerprint from documents""")
 def claim_fingerprint(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", I.claim_fingerprint(X.json_text(F.col("lang")), F.substring("text", 1, 200)).alias("fingerprint"))
+    return d.select("doc_id", I.claim_fingerprint(F.to_json(F.array("lang", "source")), F.col("text")).alias("fingerprint"))
 
 
 _SENTENCES = f"""
@@ -165,10 +168,10 @@ def section_lookup(spark, sf):
 
 
 @query("title_keys", r"""
-with t as (select doc_id, nullif(trim(regexp_replace(replace(lower(strip_accents(substring(text, 1, 120))), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')), '') as key from documents)
+with t as (select doc_id, nullif(trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')), '') as key from documents)
 select key as title_key, count(*) as n, min(doc_id) as first_doc from t where key is not null group by key""")
 def title_keys(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.title_key(F.substring("text", 1, 120)).alias("title_key"))
+    d = table(spark, sf, "documents").select("doc_id", X.title_key(F.col("text")).alias("title_key"))
     return d.filter("title_key is not null").groupBy("title_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

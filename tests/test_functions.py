@@ -29,14 +29,39 @@ def plain_norm(text):
 
 def test_normalise_matches_the_definition(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    for row in df.select("t", X.normalise_quote(F.col("t"), unicode_forms=True).alias("n")).collect():
+    for row in df.select("t", X.normalise_quote(F.col("t")).alias("n")).collect():
         assert row.n == plain_norm(row.t), row.t
 
 
-def test_native_path_agrees_where_no_compatibility_forms_occur(spark):
-    texts = [t for t in TEXTS if "½" not in t and "́" not in t]
-    for row in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalise_quote(F.col("t")).alias("n")).collect():
+def test_unicode_forms_are_the_default(spark):
+    texts = ["5 m² ½ x", "Škoda", "ＡＢ１２ ﬁne", "cafe\u0301 au lait", "1/12° Ⅷ ㎏", "x\u0301y", "naïve – “quoted” ℡", "海洋 sea", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalise_quote(F.col("t")).alias("n"), X.fold_question(F.col("t")).alias("f"), X.title_key(F.col("t")).alias("k"), X.entity_key(F.col("t")).alias("e")).collect()
+    for row in rows:
+        if row.t is None:
+            assert row.n is row.f is row.k is row.e is None
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", row.t) if not unicodedata.category(c).startswith("M"))
         assert row.n == plain_norm(row.t), row.t
+        assert row.f == " ".join(re.findall("[0-9a-zA-Z]+", base)).lower(), row.t
+        assert row.e == unicodedata.normalize("NFKC", row.t)
+    keys = {row.t: row.k for row in rows}
+    assert keys["Škoda"] == "skoda" and keys["5 m² ½ x"] == "5 m2 1 2 x" and keys["ＡＢ１２ ﬁne"] == "ab12 fine"
+
+
+def test_fingerprints_are_those_of_the_ledger(spark):
+    import hashlib
+    import json
+
+    values = ['["a","b"]', '{"b":1,"a":2}', "0.00001", "1e-5", "1e20", "3", "-0.25", "1.50", "1.0", "123456789.125", '"a, b: é"', '["x, y", {"k": [1, 2.5e-7]}]', "true", "null", "[]", '"a\\nb"']
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", I.claim_fingerprint(F.col("v"), F.lit("the “quote”")).alias("f")).collect()
+    for row in rows:
+        payload = json.dumps([json.loads(row.v), "the “quote”"], ensure_ascii=False, sort_keys=True)
+        assert row.f == hashlib.sha256(payload.encode()).hexdigest()[:16], row.v
+
+
+def test_supports_settles_unicode_inside_lists(spark):
+    row = one(spark, N.supports(F.parse_json(F.lit('["５ m²", "ﬁne"]')), F.lit("a fine 5 m2 grid")), N.supports(F.parse_json(F.lit('["５ m³"]')), F.lit("5 m2")), N.supports(F.parse_json(F.lit('["a＂b"]')), F.lit("a b")))
+    assert tuple(row) == (True, False, True)
 
 
 @pytest.mark.parametrize("text,numbers", [
@@ -56,7 +81,7 @@ def test_supports(spark, value, quote, ok):
 
 
 def test_fold_and_titles(spark):
-    row = one(spark, X.fold_question(F.lit("Époques d'été")), X.title_key(F.lit(" The—Été: Straße_x ")), X.title_key(F.lit("!!")), X.fold_question(F.lit("ﬁn"), unicode_forms=True))
+    row = one(spark, X.fold_question(F.lit("Époques d'été")), X.title_key(F.lit(" The—Été: Straße_x ")), X.title_key(F.lit("!!")), X.fold_question(F.lit("ﬁn")))
     assert tuple(row) == ("epoques d ete", "the ete strasse x", None, "fin")
 
 
