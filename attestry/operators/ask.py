@@ -73,7 +73,16 @@ def _signature(parsed: DataFrame) -> DataFrame:
 
 
 def match_experiments(parsed: DataFrame, experiments: DataFrame) -> DataFrame:
-    """(signature, slug, shape counts): experiments that fit each distinct set of filters.
+    """(signature, slug, shape counts): how many experiments fit each distinct set of filters, per paper."""
+    fits, free = _fitting_shapes(parsed, experiments)
+    shapes = experiment_shapes(experiments)
+    counts = [c for c in shapes.columns if c.startswith("n_")]
+    per_paper = shapes.groupBy("slug").agg(*[F.sum(c).alias(c) for c in counts])
+    return fits.groupBy("signature", "slug").agg(*[F.sum(c).alias(c) for c in counts]).unionByName(per_paper.crossJoin(free))
+
+
+def _fitting_shapes(parsed: DataFrame, experiments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signature, shape, slug, counts) of what fits each distinct set of filters, and the signature of the empty set.
 
     Tasks AND (families OR methods) AND groups AND variables. Experiments are first counted
     per shape (the facets a filter can see, per paper), and equal filters are answered once.
@@ -99,19 +108,25 @@ def match_experiments(parsed: DataFrame, experiments: DataFrame) -> DataFrame:
     fits = some.filter(F.coalesce(keep, F.lit(False))).select("signature", "shape", "slug", *counts).dropDuplicates(["signature", "shape"])
     # the empty filter, at most one row however many questions share it, covers the whole corpus
     free = F.broadcast(wanted.filter("facet = 'all'").select("signature"))
-    per_paper = shapes.groupBy("slug").agg(*[F.sum(c).alias(c) for c in counts])
-    return fits.groupBy("signature", "slug").agg(*[F.sum(c).alias(c) for c in counts]).unionByName(per_paper.crossJoin(free))
+    return fits, free
 
 
 def experiment_shapes(experiments: DataFrame) -> DataFrame:
     """Experiments counted per paper and visible facets: how many, how many report each setting, results."""
+    out = _shaped(experiments).groupBy(*SHAPE, "shape")
+    return out.agg(F.count("*").alias("n_experiments"), F.sum(F.size("metrics")).alias("n_results"), *[F.count_if(F.array_contains("reported", f)).alias(f"n_{f}") for f in V.FIELD_WORDS])
+
+
+SHAPE = ["slug", "_task", "_family", "_method", "_variable", "_groups"]
+
+
+def _shaped(experiments: DataFrame) -> DataFrame:
+    """Experiments with the facets a filter can see, and their shape."""
     from attestry.functions.rules import dataset_group
 
     groups = F.array_sort(F.array_distinct(F.array_compact(F.transform("datasets", lambda d: dataset_group(d)))))
-    rows = experiments.select("slug", F.col("task").alias("_task"), F.col("family").alias("_family"), F.col("method").alias("_method"), F.col("variable").alias("_variable"), groups.alias("_groups"), "reported", "metrics")
-    key = ["slug", "_task", "_family", "_method", "_variable", "_groups"]
-    out = rows.groupBy(*key).agg(F.count("*").alias("n_experiments"), F.sum(F.size("metrics")).alias("n_results"), *[F.count_if(F.array_contains("reported", f)).alias(f"n_{f}") for f in V.FIELD_WORDS])
-    return out.withColumn("shape", F.sha2(F.to_json(F.struct(*key)), 256))
+    facets = {"_task": F.col("task"), "_family": F.col("family"), "_method": F.col("method"), "_variable": F.col("variable"), "_groups": groups}
+    return experiments.withColumns(facets).withColumn("shape", F.sha2(F.to_json(F.struct(*SHAPE)), 256))
 
 
 def answers(parsed: DataFrame, experiments: DataFrame, limitations: DataFrame, shared_cells: DataFrame | None = None) -> DataFrame:
@@ -172,14 +187,18 @@ def caveats(parsed: DataFrame, blocks: DataFrame, shared: DataFrame) -> DataFram
 def training_values(parsed: DataFrame, experiments: DataFrame, settings: DataFrame, limit: int = 40) -> DataFrame:
     """The reported values behind a training block, at most ``limit`` per question and field.
 
-    Listed for questions with filters; the counts in ``answers`` are never cut.
-    settings(slug, ord, field, value_json, unit, page, quote).
+    Values come from the experiments that fit the question's filters, or from all of them if it has none;
+    the counts in ``answers`` are never cut. settings(slug, ord, field, value_json, unit, page, quote).
     """
     from attestry.operators.keyed import first_n
 
     filtered = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    asked = _signature(parsed.filter("understood").filter(filtered)).select("question_id", "signature", F.explode("fields").alias("field"))
-    papers = match_experiments(parsed.filter(filtered), experiments).select("signature", "slug")
-    wanted = asked.select("signature", "field").distinct().join(papers, "signature")
-    rows = first_n(wanted.join(settings, ["slug", "field"]), ["signature", "field"], [F.col("slug"), F.col("ord")], limit)
-    return asked.join(rows, ["signature", "field"]).drop("signature")
+    asked = _signature(parsed.filter("understood")).select("question_id", "signature", filtered.alias("_filtered"), F.explode("fields").alias("field"))
+    held = settings.join(_shaped(experiments).select("slug", "ord", "shape"), ["slug", "ord"])
+    order = [F.col("slug"), F.col("ord")]
+    fits = _fitting_shapes(parsed.filter(filtered), experiments)[0].select("signature", "shape")
+    wanted = asked.filter("_filtered").select("signature", "field").distinct().join(fits, "signature")
+    some = first_n(wanted.join(held, ["shape", "field"]), ["signature", "field"], order, limit)
+    free = first_n(held, ["field"], order, limit)
+    out = asked.filter("_filtered").join(some, ["signature", "field"]).unionByName(asked.filter("not _filtered").join(free, "field"))
+    return out.drop("signature", "shape", "_filtered")

@@ -11,7 +11,7 @@ from attestry.plans.registry import as_int, query, spread_table, table
 
 def experiments(spark, sf):
     """A document is an experiment: its first words name task, family, method and variable."""
-    d = spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text").withColumn("t", F.split(fold_question(F.left("text", F.lit(400))), " "))
+    d = spread_table(spark, sf, "documents", "doc_id", "source", "lang", "text").withColumn("t", F.split(fold_question(F.col("text")), " "))
     word = lambda i: F.nullif(F.get("t", F.lit(i)), F.lit(""))
     return d.select(
         F.col("source").alias("slug"), F.col("doc_id").alias("ord"), word(0).alias("task"), word(1).alias("family"), F.nullif(F.array_join(F.slice("t", 3, 2), " "), F.lit("")).alias("method"),
@@ -28,7 +28,7 @@ def questions(spark, sf):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(F.coalesce("text", F.lit("")), F.expr(_EXTRA)).alias("text"))
 
 
-_E = f"""d as (select doc_id, source, lang, string_split({S.fold('left(text, 400)')}, ' ') as t from documents),
+_E = f"""d as (select doc_id, source, lang, string_split({S.fold('text')}, ' ') as t from documents),
 e as (select source as slug, doc_id as ord, nullif(t[1], '') as task, nullif(t[2], '') as family, nullif(array_to_string(t[3:4], ' '), '') as method, lang || ' set' as ds, nullif(t[6], '') as variable, doc_id % 2 = 0 as r_lr, doc_id % 3 = 0 as r_loss, doc_id % 5 = 0 as r_hw, (doc_id % 4 = 0)::int as nres from d),
 voc as (select distinct kind, {S.fold('name')} as key, name from (select 'task' as kind, task as name from e union all select 'family', family from e union all select 'method', method from e union all select 'dataset_group', ds from e union all select 'variable', variable from e) where name is not null),
 q as (select conv_id * 1000 + turn as question_id, ' ' || {S.fold(f"coalesce(text, '') || {_EXTRA}")} || ' ' as f from conversations),
@@ -95,10 +95,11 @@ def question_caveats(spark, sf):
     return K.caveats(p, K.answers(p, experiments(spark, sf), limitations(spark, sf)), shared)
 
 
-@query("question_values", f"""with {_P}, x as (select distinct p.question_id, e.slug from p join e on understood and nf > 0 and (len(p.task) = 0 or list_contains(p.task, e.task)) and ((len(p.family) = 0 and len(p.method) = 0) or coalesce(list_contains(p.family, e.family), false) or coalesce(list_contains(p.method, e.method), false))
+@query("question_values", f"""with {_P}, x as (select p.question_id, e.slug, e.ord from p join e on understood and nf > 0 and (len(p.task) = 0 or list_contains(p.task, e.task)) and ((len(p.family) = 0 and len(p.method) = 0) or coalesce(list_contains(p.family, e.family), false) or coalesce(list_contains(p.method, e.method), false))
   and (len(p.dataset_group) = 0 or list_contains(p.dataset_group, e.ds)) and (len(p.variable) = 0 or coalesce(list_contains(p.variable, e.variable), false))),
 s as (select source as slug, doc_id as ord, case doc_id % 3 when 0 then 'loss' when 1 then 'learning_rate' else 'hardware' end as field, n_chars::varchar as value_json from documents)
-select * from (select p.question_id, s.slug, s.ord, s.field, s.value_json, row_number() over (partition by p.question_id, s.field order by s.slug, s.ord) as rank from p join x using (question_id) join s on s.slug = x.slug and list_contains(p.fields, s.field)) where rank <= 40""")
+select * from (select p.question_id, s.slug, s.ord, s.field, s.value_json, row_number() over (partition by p.question_id, s.field order by s.slug, s.ord) as rank from p join x using (question_id) join s on s.slug = x.slug and s.ord = x.ord and list_contains(p.fields, s.field)) where rank <= 40
+union all select p.question_id, a.slug, a.ord, a.field, a.value_json, a.place as rank from p join (select *, row_number() over (partition by field order by slug, ord) as place from s join (select slug, ord from e) using (slug, ord)) a on a.place <= 40 and list_contains(p.fields, a.field) where understood and nf = 0""")
 def question_values(spark, sf):
     settings = table(spark, sf, "documents").selectExpr("source as slug", "doc_id as ord", "case doc_id % 3 when 0 then 'loss' when 1 then 'learning_rate' else 'hardware' end as field", "cast(n_chars as string) as value_json")
     return K.training_values(parsed(spark, sf), experiments(spark, sf), settings).select("question_id", "slug", "ord", "field", "value_json", "rank")
