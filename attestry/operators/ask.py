@@ -2,7 +2,7 @@
 
 Everything is a join on equal keys. A vocabulary entry is a run of words, so questions are
 cut into runs of the lengths the vocabulary uses and looked up; filters meet experiments
-through the rarest kind of facet a question names.
+through the first kind of facet a question names: tasks, families and methods, groups, variables.
 """
 
 from __future__ import annotations
