@@ -156,15 +156,15 @@ def sentence_explode(spark, sf):
 
 
 @query("section_lookup", _SENTENCES + r"""
-, l as (select doc_id, text, parts[len(parts)] as sentence from s where len(parts) > 0),
-b as (select doc_id, case when strpos(text, sentence) > 1 then
+, l as (select doc_id, text, i - 1 as pos, parts[i] as sentence from (select doc_id, text, parts, unnest(range(1, len(parts) + 1)) as i from s)),
+b as (select doc_id, pos, case when strpos(text, sentence) > 1 then
   substring(text, greatest(1, strpos(text, sentence) - 400), strpos(text, sentence) - greatest(1, strpos(text, sentence) - 400)) else '' end as before from l),
-m as (select doc_id, regexp_extract_all(before, '(?m)^(?:\d+(?:\.\d+)*\s+)?(.{3,100})$', 1) as found from b)
-select doc_id, coalesce(trim(found[len(found)]), '') as section from m""")
+m as (select doc_id, pos, regexp_extract_all(before, '(?m)^(?:\d+(?:\.\d+)*\s+)?(.{3,100})$', 1) as found from b)
+select doc_id, pos, coalesce(trim(found[len(found)]), '') as section from m""")
 def section_lookup(spark, sf):
-    d = spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", "text", X.sentences(F.col("text")).alias("parts")).filter(F.size("parts") > 0)
-    d = d.select("doc_id", "text", F.element_at("parts", -1).alias("sentence"))
-    return d.select("doc_id", F.coalesce(X.section_before(F.col("text"), F.col("sentence")), F.lit("")).alias("section"))
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
+    d = d.select("doc_id", "text", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+    return d.select("doc_id", "pos", F.coalesce(X.section_before(F.col("text"), F.col("sentence")), F.lit("")).alias("section"))
 
 
 @query("title_keys", r"""

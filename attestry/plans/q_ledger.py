@@ -17,14 +17,14 @@ def claims(spark, sf):
         F.concat(F.lit("c"), i.cast("string")).alias("claim_id"), F.col("source").alias("slug"),
         F.concat(F.lit("results["), i.cast("string"), F.lit("]")).alias("path"),
         F.get(kinds, (i % 8).cast("int")).alias("kind"), json_text(F.col("lang")).alias("value_json"),
-        F.when(i % 11 != 0, F.substring("text", 1, 60)).alias("quote"), (i % 30).alias("page_pdf"),
+        F.when(i % 11 != 0, F.col("text")).alias("quote"), (i % 30).alias("page_pdf"),
         F.concat(F.lit("v"), (i % 2).cast("string")).alias("fingerprint"),
     )
 
 
 _CLAIMS = """claims as (select 'c' || doc_id as claim_id, doc_id, source as slug, 'results[' || doc_id || ']' as path,
   ['RESULT','TRAINING','TRAINING_EXTRA','CONFLICT','LIMITATION','METHOD','DATASET','EXCLUSION'][(doc_id % 8)::int + 1] as kind, doc_id % 8 as prio,
-  to_json(lang)::varchar as value_json, case when doc_id % 11 <> 0 then substring(text, 1, 60) end as quote, doc_id % 30 as page_pdf,
+  to_json(lang)::varchar as value_json, case when doc_id % 11 <> 0 then text end as quote, doc_id % 30 as page_pdf,
   'v' || (doc_id % 2) as fingerprint from documents)"""
 
 
@@ -168,11 +168,11 @@ def snapshot(spark, sf):
     return d.select(
         F.concat(F.col("source"), F.lit("::results["), F.expr("if(doc_id % 2 = 0, doc_id, doc_id + 500000)"), F.lit("]")).alias("claim_id"),
         F.col("source").alias("slug"), json_text(F.col("lang")).alias("value_json"),
-        F.expr("case when doc_id % 5 = 0 then 'gone' when doc_id % 11 <> 0 then substring(text, 1, 60) end").alias("quote"))
+        F.expr("case when doc_id % 5 = 0 then 'gone' when doc_id % 11 <> 0 then text end").alias("quote"))
 
 
 _SNAPSHOT = """snap as (select source || '::results[' || case when doc_id % 2 = 0 then doc_id else doc_id + 500000 end || ']' as claim_id, source as slug,
-  to_json(lang)::varchar as value_json, case when doc_id % 5 = 0 then 'gone' when doc_id % 11 <> 0 then substring(text, 1, 60) end as quote from documents where doc_id % 3 = 0),
+  to_json(lang)::varchar as value_json, case when doc_id % 5 = 0 then 'gone' when doc_id % 11 <> 0 then text end as quote from documents where doc_id % 3 = 0),
 cl as (select slug || '::' || path as id, slug, value_json, quote, fingerprint, path from claims),
 byc as (select slug, value_json, quote, count(*) as n, min(id) as only_id from cl group by all),
 placed as (select s.claim_id, coalesce(b.n, 0) as candidates,

@@ -79,9 +79,9 @@ def entity_list(spark, sf):
     return page(R.entity_list(R.entities(m), m, text="U"), [F.lower("canonical_name"), F.col("entity_type"), F.col("normalized_key")], 20).drop("entity_id")
 
 
-@query("entity_evidence", f"""with {_MEN} select entity_type, normalized_key, paper_id, coalesce(alt, -1) as alternative_index, case when n_evidence = 0 then -1 when alt = 1 then 3 else 2 end as page from men where entity_type = 'OPTIMIZER'""")
+@query("entity_evidence", f"""with {_MEN} select entity_type, normalized_key, paper_id, coalesce(alt, -1) as alternative_index, case when n_evidence = 0 then -1 when alt = 1 then 3 else 2 end as page from men""")
 def entity_evidence(spark, sf):
-    m = mentions(spark, sf).filter("entity_type = 'OPTIMIZER'")
+    m = mentions(spark, sf)
     rows = R.entity_mentions(R.entities(m), m).join(m.select("mention_id", "alternative_index"), "mention_id")
     return rows.select("entity_type", "normalized_key", "paper_id", F.coalesce("alternative_index", F.lit(-1)).alias("alternative_index"), F.coalesce("page", F.lit(-1)).alias("page"))
 
@@ -104,15 +104,18 @@ def research_view(spark, sf):
     return R.research_view(states(spark, sf), mentions(spark, sf), o, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id")))
 
 
-@query("evidence_walk_long", f"""with {_ST} select field_path, status, count(*) as n, count(value_json) as n_values, count(distinct value_json) as distinct_values from s group by 1, 2""")
+_SILENT = ", ".join(f"'{p}'" for p in V.FIELD_TYPES if p not in [f[0] for f in _FIELDS])
+
+
+@query("evidence_walk_long", f"""with {_ST} select field_path, status, count(*) as n, count(value_json) as n_values, count(distinct value_json) as distinct_values from s group by 1, 2
+union all select unnest([{_SILENT}]), 'NOT_REPORTED', (select count(*) from orders), 0, 0""")
 def evidence_walk_long(spark, sf):
     """Rebuilds nested records from columns and walks them back to long form."""
     v = {f"c{i}": f"named_struct('value', {val}, 'status', {st}, 'provenance_type', {pr})" for _, i, val, st, pr, _e in _FIELDS}
     doc = f"""to_json(named_struct('scientific_framing', named_struct('domain', {v['c0']}), 'data', named_struct('datasets', {v['c1']}), 'architecture', named_struct('family', {v['c2']}),
       'training', named_struct('optimizer', {v['c3']}, 'learning_rate', {v['c4']}, 'batch_size', {v['c5']}), 'results', named_struct('headline', {v['c6']}), 'limitations', named_struct('data', {v['c7']}, 'future_work', {v['c8']})))"""
     r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.lit(0).alias("edition_id"), F.parse_json(F.expr(doc)).alias("v"))
-    out = R.field_states(r).filter(F.col("field_path").isin(*[f[0] for f in _FIELDS]))
-    return out.groupBy("field_path", "status").agg(F.count("*").alias("n"), F.count("value_json").alias("n_values"), F.countDistinct("value_json").alias("distinct_values"))
+    return R.field_states(r).groupBy("field_path", "status").agg(F.count("*").alias("n"), F.count("value_json").alias("n_values"), F.countDistinct("value_json").alias("distinct_values"))
 
 
 def _frule(name, where):
@@ -167,11 +170,11 @@ def relationship_rules(spark, sf):
     return R.relationship_rules(e).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("compare_pair", f"""with {_ST}, c as (select * from s where field_path not like 'scientific%'), p as (select o_orderkey as l, o_orderkey + 1 as r from orders where o_orderkey % 10 = 0), a as (select p.l, p.r, c.* from p join c on c.paper_id = p.l), b as (select p.l, p.r, c.* from p join c on c.paper_id = p.r)
+@query("compare_pair", f"""with {_ST}, c as (select * from s where field_path not like 'scientific%'), p as (select o_orderkey as l, o_orderkey + 1 as r from orders), a as (select p.l, p.r, c.* from p join c on c.paper_id = p.l), b as (select p.l, p.r, c.* from p join c on c.paper_id = p.r)
 select coalesce(a.l, b.l) as left_id, coalesce(a.r, b.r) as right_id, coalesce(a.field_path, b.field_path) as field_path, coalesce(a.value_json, '') as left_value, coalesce(b.value_json, '') as right_value, coalesce(a.status, '') as left_status, coalesce(b.status, '') as right_status
 from a full join b on a.l = b.l and a.r = b.r and a.field_path = b.field_path""")
 def compare_pair(spark, sf):
-    pairs = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").selectExpr("o_orderkey as left_id", "o_orderkey + 1 as right_id")
+    pairs = table(spark, sf, "orders").selectExpr("o_orderkey as left_id", "o_orderkey + 1 as right_id")
     c = R.compare_pairs(states(spark, sf), pairs)
     text = lambda a, b: F.coalesce(f"{a}_cell.{b}", F.lit("")).alias(f"{a}_{'value' if b == 'value_json' else b}")
     return c.select("left_id", "right_id", "field_path", text("left", "value_json"), text("right", "value_json"), text("left", "status"), text("right", "status"))
@@ -212,12 +215,12 @@ def workflow_merge(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", R.merge_workflow(at("o_orderkey"), at("o_custkey")).alias("status"))
 
 
-_UP = f"""{_ST}, n as (select *, case when paper_id % 3 = 0 then null when paper_id % 3 = 1 then value_json else '"changed"' end as nv, case when paper_id % 3 = 0 then 'NOT_REPORTED' else status end as ns from s where pos in (1, 2, 4))"""
+_UP = f"""{_ST}, n as (select *, case when paper_id % 3 = 0 then null when paper_id % 3 = 1 then value_json else '"changed"' end as nv, case when paper_id % 3 = 0 then 'NOT_REPORTED' else status end as ns from s)"""
 
 
 @query("upgrade_fields", "with " + _UP + """ select paper_id, field_path, case when ns = 'NOT_REPORTED' then 'STORED' when status = 'NOT_REPORTED' or paper_id % 3 = 1 then 'INCOMING' else 'CONFLICT' end as keep from n""")
 def upgrade_fields(spark, sf):
-    old = states(spark, sf).filter("pos in (1, 2, 4)")
+    old = states(spark, sf)
     new = old.withColumns({"value_json": F.expr("case when paper_id % 3 = 0 then null when paper_id % 3 = 1 then value_json else '\"changed\"' end"), "status": F.expr("if(paper_id % 3 = 0, 'NOT_REPORTED', status)")})
     return R.upgrade_fields(old, new).select("paper_id", "field_path", "keep")
 
@@ -225,8 +228,8 @@ def upgrade_fields(spark, sf):
 @query("upgrade_allowed", """select o_orderkey as paper_id from orders where o_orderkey % 2 = 0 and o_orderkey % 3 = 0 and o_orderstatus <> 'P'""")
 def upgrade_allowed(spark, sf):
     s = states(spark, sf)
-    old = s.filter("pos < 3").withColumns({"status": F.expr("if(paper_id % 2 = 0, 'NOT_REPORTED', 'NOT_VERIFIED')")})
-    new = s.filter("pos = 4").withColumn("sources", F.when(F.col("paper_id") % 3 == 0, F.array(F.struct(*[F.lit(x).alias(n) for n, x in (("section", "s"),)], F.lit(1).alias("page"), *[F.lit(x).alias(n) for n, x in (("locator", "l"), ("evidence", "e"), ("origin", "PRIMARY_PAPER"), ("edition_key", "k"))], F.lit(None).cast("string").alias("claimed_json")))).otherwise(F.array().cast(f"array<{E.SOURCE}>")))
+    old = s.withColumns({"status": F.expr("if(paper_id % 2 = 0, 'NOT_REPORTED', 'NOT_VERIFIED')")})
+    new = s.withColumn("sources", F.when(F.col("paper_id") % 3 == 0, F.array(F.struct(*[F.lit(x).alias(n) for n, x in (("section", "s"),)], F.lit(1).alias("page"), *[F.lit(x).alias(n) for n, x in (("locator", "l"), ("evidence", "e"), ("origin", "PRIMARY_PAPER"), ("edition_key", "k"))], F.lit(None).cast("string").alias("claimed_json")))).otherwise(F.array().cast(f"array<{E.SOURCE}>")))
     flow = table(spark, sf, "orders").selectExpr("o_orderkey as paper_id", "if(o_orderstatus = 'P', 'PARSED', 'INGESTED') as old_status", "'EXTRACTED' as new_status")
     return R.may_upgrade(old, new, flow)
 

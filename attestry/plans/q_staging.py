@@ -73,10 +73,14 @@ def twice(rule, entity, key, source):
     return f"select '{rule}', 'error', '{entity}', {key}::varchar from {source} where {key} is not null group by {key} having count(*) > 1"
 
 
-@query("paper_identity_rules", f"""with {_I}, k as (select *, {_DOI} as d, {_TITLE} as t from i), v as ({' union all '.join([
+_KEYED = f"k as (select *, {_DOI} as d, {_TITLE} as t from i)"
+_IDENTITY_RULES = [
     rows('paper_id_missing', 'PAPER_INDEX', 'paper_id', "k where coalesce(paper_id, '') = ''"), rows('paper_audit_not_pending', 'PAPER_INDEX', 'paper_id', "k where scientific_audit_status = 'AUDITED'"),
     twice('paper_id_repeated', 'PAPER_INDEX', 'paper_id', 'k'), twice('doi_repeated', 'PAPER_INDEX', 'd', 'k'),
-    "select 'title_year_repeated', 'error', 'PAPER_INDEX', t || '/' || year from k where t is not null group by t, year having count(*) > 1"])}) {_REPORT}""")
+    "select 'title_year_repeated', 'error', 'PAPER_INDEX', t || '/' || year from k where t is not null group by t, year having count(*) > 1"]
+
+
+@query("paper_identity_rules", f"""with {_I}, {_KEYED}, v as ({' union all '.join(_IDENTITY_RULES)}) {_REPORT}""")
 def paper_identity_rules(spark, sf):
     return report(G.paper_identity_rules(index(spark, sf)))
 
@@ -86,14 +90,17 @@ _TOKEN = r"regexp_replace(upper(trim(value)), '[\s\-]+', '_', 'g')"
 _N = "c where coalesce(claim_id, '') <> '' and "
 
 
-@query("claim_rules", f"""with {_I}, {_C}, v as ({' union all '.join([
+_CLAIM_RULES = [
     rows('claim_path_missing', _S, 'claim_id', _N + "field_path is null"), rows('claim_status_refused', _S, 'claim_id', _N + "scientific_status = 'VERIFIED'"),
     rows('claim_status_unknown', _S, 'claim_id', _N + "coalesce(scientific_status, 'ODD') = 'ODD'"), rows('claim_value_missing', _S, 'claim_id', _N + "value is null"),
     rows('claim_audit_not_pending', _S, 'claim_id', _N + "independent_audit is not null"), rows('extraction_status_unknown', _S, 'claim_id', _N + "extraction_status = 'WEIRD'"),
     rows('marker_with_value', _S, 'claim_id', _N + "extraction_status = 'NOT_REPORTED' and value is distinct from 'NOT_REPORTED'"),
     rows('status_word_as_value', _S, 'claim_id', _N + f"coalesce(extraction_status, 'EXTRACTED') = 'EXTRACTED' and {_TOKEN} in {V.STATUS_WORDS}"),
     rows('claim_id_missing', _S, "''", "c where claim_id is null"), twice('claim_id_repeated', _S, 'claim_id', 'c'),
-    rows('claim_paper_unknown', _S, 'claim_id', _N + "paper_id not in (select paper_id from i)")])}) {_REPORT}""")
+    rows('claim_paper_unknown', _S, 'claim_id', _N + "paper_id not in (select paper_id from i)")]
+
+
+@query("claim_rules", f"""with {_I}, {_C}, v as ({' union all '.join(_CLAIM_RULES)}) {_REPORT}""")
 def claim_rules(spark, sf):
     return report(G.claim_rules(claims(spark, sf), index(spark, sf)))
 
@@ -194,15 +201,27 @@ def coverage_rules(spark, sf):
     return report(G.coverage_rules(make(spark, sf, "customer", COVERAGE), index(spark, sf), claims(spark, sf)))
 
 
-@query("declared_counts", f"""with {_C}, n as (select 'Papers indexed' as label, count(*) as said, count(*) as has from customer union all select 'Claims total', count(*) + 1, count(*) from orders
- union all select 'Detailed papers now', count(distinct o_custkey), (select count(distinct paper_id) from c where coalesce(extraction_status, '') <> 'NOT_REPORTED') from orders),
-v as ({rows('declared_count', 'START_HERE', 'label', 'n where said <> has')}) {_REPORT}""")
+_MARKED = "extraction_status = 'NOT_REPORTED'"
+
+
+@query("declared_counts", f"""with {_C}, t as (select count(*) as n, count(*) - 10 as before, 5 as added, count(*) + 1 as total, count_if({_MARKED}) as markers,
+  count_if(coalesce(not ({_MARKED}), true)) + 2 as x, count_if({_MARKED}) - 2 as m from c),
+n as (select 'Claims total' as label, total as said, n as has, null as other from t
+  union all select 'Detailed papers now', f, (select count(distinct case when coalesce(not ({_MARKED}), true) then paper_id end) from c), f from (select count_if(c_custkey % 3 <> 0) as f from customer)),
+v as ({rows('declared_count', 'START_HERE', 'label', 'n where said <> has and said is distinct from other')} union all {rows('declared_by_formula', 'START_HERE', 'label', 'n where said <> has and said = other', 'warn')}
+  union all {rows('totals_undeclared', 'START_HERE', "'totals'", "t where not exists (select 1 from n where label = 'Papers indexed')")}
+  union all {rows('totals_do_not_add_up', 'START_HERE', "'totals'", 't where before + added <> total')}
+  union all {rows('markers_counted_as_rows', 'START_HERE', "'totals'", 't where x + m = n and m <= markers and m <> markers', 'warn')}) {_REPORT}""")
 def declared_counts(spark, sf):
+    """A cover sheet that breaks each of the total rules once."""
     o, c, cl = table(spark, sf, "orders"), table(spark, sf, "customer"), claims(spark, sf)
     line = lambda df, label, n: df.agg(F.lit(label).alias("label"), n.cast("string").alias("text"))
-    start = line(c, "Papers indexed", F.count("*")).unionByName(line(o, "Claims total", F.count("*") + 1)).unionByName(line(o, "Detailed papers now", F.countDistinct("o_custkey")))
-    out = G.supplement_totals(start, cl, c, make(spark, sf, "customer", COVERAGE), c.filter("false"))
-    return report(out.filter("rule = 'declared_count'"))
+    marked = F.coalesce(F.expr(_MARKED), F.lit(False))
+    start = C.all_violations([
+        line(o, "Claims total", F.count("*") + 1), line(o, "Claims before", F.count("*") - 10), line(o, "Claims added", F.lit(5)),
+        line(c.filter("c_custkey % 3 <> 0"), "Detailed papers now", F.count("*")),
+        line(cl, "Lignes extraites / historiques", F.count_if(~marked) + 2), line(cl, "Champs manquants hérités", F.count_if(marked) - 2)])
+    return report(G.supplement_totals(start, cl, c, make(spark, sf, "customer", COVERAGE), c.filter("false")))
 
 
 @query("type_warnings", f"""with {_C}, v as (select 'markers_present' as rule, 'warn' as severity, '{_S}' as entity, extraction_status as key from c where extraction_status = 'NOT_REPORTED' group by extraction_status
@@ -211,14 +230,11 @@ def type_warnings(spark, sf):
     return report(G.type_warnings(claims(spark, sf)))
 
 
-@query("integrity_violations", f"""with {_I}, {_C}, k as (select *, {_DOI} as d from i), v as ({' union all '.join([
-    rows('paper_id_missing', 'PAPER_INDEX', 'paper_id', "k where paper_id = ''"), rows('paper_audit_not_pending', 'PAPER_INDEX', 'paper_id', "k where scientific_audit_status = 'AUDITED'"), twice('doi_repeated', 'PAPER_INDEX', 'd', 'k'),
-    rows('claim_value_missing', _S, 'claim_id', _N + "value is null"), rows('claim_paper_unknown', _S, 'claim_id', _N + "paper_id not in (select paper_id from i)"), twice('claim_id_repeated', _S, 'claim_id', 'c')])})
-select rule, severity, count(*) as n, min(key) as first_key from v group by 1, 2""")
+@query("integrity_violations", f"""with {_I}, {_C}, {_KEYED}, v as ({' union all '.join(_IDENTITY_RULES + _CLAIM_RULES)})
+select rule, severity, count(*) as n, coalesce(min(key), '') as first_key from v group by 1, 2""")
 def integrity_violations(spark, sf):
     v = C.all_violations([G.paper_identity_rules(index(spark, sf)), G.claim_rules(claims(spark, sf), index(spark, sf))])
-    shown = v.filter(F.col("rule").isin("paper_id_missing", "paper_audit_not_pending", "doi_repeated", "claim_value_missing", "claim_paper_unknown", "claim_id_repeated"))
-    return shown.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+    return v.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.coalesce(F.min("key"), F.lit("")).alias("first_key"))
 
 
 # --- identity and merge -----------------------------------------------------------------

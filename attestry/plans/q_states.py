@@ -207,7 +207,7 @@ LINE_CLAIMS = ("p_brand || '.' || replace(p_name, ' ', '_') as field_path", "l_o
                "case when p_partkey % 11 = 0 then 'AI_INTERPRETATION' when p_partkey % 7 = 0 then 'AUTHOR_REPORTED_LIMITATION' else 'AUTHOR_REPORTED_FACT' end as claim_type",
                "case when l_suppkey % 97 = 0 then 'CONFLICT_REVIEW' when l_suppkey % 31 = 0 then 'Literature Review' when l_suppkey % 31 = 1 then 'REVIEWED_METHOD' else 'OWN' end as subject_scope")
 _TARGET = "case when p_partkey % 5 = 0 then 'limitations.data' when p_partkey % 5 = 1 then 'interpretation.note' when p_partkey % 5 = 2 then 'results.headline' when p_partkey % 5 = 3 then 'limitations.future_work' else 'data.inputs' end"
-_PROP = f"""{_MAPS}, lc as (select {', '.join(LINE_CLAIMS)} from lineitem join part on l_partkey = p_partkey where l_returnflag <> 'N' and p_size < 40), us as (select field_path, count(*) as n_claims, count(distinct paper_id) as n_papers, list_sort(list_distinct(list(claim_type))) as types, list_distinct(list(subject_scope)) as scopes from lc group by 1),
+_PROP = f"""{_MAPS}, lc as (select {', '.join(LINE_CLAIMS)} from lineitem join part on l_partkey = p_partkey), us as (select field_path, count(*) as n_claims, count(distinct paper_id) as n_papers, list_sort(list_distinct(list(claim_type))) as types, list_distinct(list(subject_scope)) as scopes from lc group by 1),
 sy as (select {CANDIDATES[0]}, max({_TARGET}) as target from part where p_size % 2 = 0 group by 1), un as (select distinct {CANDIDATES[0]} from part where p_size = 9), di as (select distinct {CANDIDATES[0]} from part where p_size = 12),
 q as (select mp.original_path, decision, un.field_path is not null as refused, di.field_path is not null as dis, sy.target, coalesce(n_claims, 0) n_claims, coalesce(n_papers, 0) n_papers, coalesce(types, []) types, coalesce(scopes, []) scopes
   from mp left join us on us.field_path = original_path left join sy on sy.field_path = original_path left join un on un.field_path = original_path left join di on di.field_path = original_path),
@@ -222,7 +222,7 @@ pr as (select original_path, decision as source_decision, n_claims, n_papers, ar
 
 
 def line_claims(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'").join(table(spark, sf, "part").filter("p_size < 40"), F.expr("l_partkey = p_partkey"))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
     return li.selectExpr(*[e.replace("l_quantity::int", "cast(l_quantity as int)") for e in LINE_CLAIMS])
 
 
@@ -255,11 +255,11 @@ AUDITS = ("event_id", "ts as at", "cast(ts as date) as created_at", "'v' || (eve
           "case event_type when 'click' then 'MAPPED' when 'view' then 'UNMAPPED' else 'AMBIGUOUS' end as decision", "case when event_type = 'click' then 't' || (event_id % 2) end as canonical_path",
           "case when event_id % 5 = 0 then 'REJECTED' else 'VALIDATED' end as review_status", "'MAPPED' as proposed_decision", "'t0' as proposed_path")
 OWN = ("'v' || (o_orderkey % 4) as version_id", "'b' || (o_orderkey % 50) as original_path")
-_CUR = "cur as (select max_by('v' || (o_custkey % 3), (o_orderdate, 'v' || (o_custkey % 3))) as version_id from orders where o_orderkey % 100 = 0)"
+_CUR = "cur as (select max_by('v' || (o_custkey % 3), (o_orderdate, 'v' || (o_custkey % 3))) as version_id from orders)"
 
 
 def current(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey % 100 = 0")
+    o = table(spark, sf, "orders")
     versions = o.selectExpr("'v' || (o_custkey % 3) as version_id", "o_orderkey as import_run_id")
     return M.current_version(versions, o.selectExpr("o_orderkey as id", "o_orderdate as imported_at"))
 
