@@ -170,11 +170,12 @@ def entity_facets(experiments: DataFrame, top: int = 8) -> DataFrame:
     facets = F.concat(
         F.array(cell("tasks", F.col("task")), cell("families", F.col("family")), cell("variables", F.col("variable")), cell("methods", F.col("method"))),
         each("datasets", F.col("datasets")), each("metrics", F.array_compact("metrics")))
-    rows = entity_experiments(experiments).select("kind", "name", "slug", "ord", F.explode(facets).alias("f"))
-    # counted per paper first: plain counts and positions aggregate in a hash table, and the far
-    # fewer rows that remain settle which paper came first
-    per_paper = rows.filter("f.value is not null").groupBy("kind", "name", "f.facet", "f.value", "slug").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    counted = per_paper.groupBy("kind", "name", "facet", "value").agg(F.sum("n").alias("n"), F.min(F.struct("slug", "ord")).alias("_first"))
+    # Experiments are put in order before each becomes some fifty rows: a position is one number,
+    # so counts and firsts stay in a hash table that is filled before the shuffle.
+    needed = experiments.select("slug", "ord", "task", "family", "method", "variable", "datasets", "metrics")
+    placed = needed.orderBy("slug", "ord").withColumn("_pos", F.monotonically_increasing_id())
+    rows = entity_experiments(placed).select("kind", "name", "_pos", F.explode(facets).alias("f")).filter("f.value is not null")
+    counted = rows.groupBy("kind", "name", "f.facet", "f.value").agg(F.count("*").alias("n"), F.min("_pos").alias("_first"))
     order = [F.desc("n"), F.col("_first"), F.col("value")]
     vocabulary = F.col("facet").isin("tasks", "families")  # few values each, so all of them are ranked
     key = ["kind", "name", "facet"]

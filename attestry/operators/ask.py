@@ -184,21 +184,80 @@ def caveats(parsed: DataFrame, blocks: DataFrame, shared: DataFrame) -> DataFram
     return asked.select("question_id", F.explode(codes).alias("caveat")).unionByName(missing).unionByName(parsed.filter("not understood").select("question_id", F.lit("NOTHING_UNDERSTOOD").alias("caveat")))
 
 
-def training_values(parsed: DataFrame, experiments: DataFrame, settings: DataFrame, limit: int = 40) -> DataFrame:
-    """The reported values behind a training block, at most ``limit`` per question and field.
+def _scope(parsed: DataFrame, want: Column, *columns: Column | str) -> DataFrame:
+    """The understood questions that ask for a block: question_id, signature, whether they filter at all, and the given columns."""
+    asked = _signature(parsed.filter("understood").filter(want))
+    return asked.select("question_id", "signature", _filtered().alias("_filtered"), *columns)
 
-    Values come from the experiments that fit the question's filters, or from all of them if it has none;
-    the counts in ``answers`` are never cut. settings(slug, ord, field, value_json, unit, page, quote).
+
+def _filtered() -> Column:
+    return sum((F.size(k) for k in KINDS), F.lit(0)) > 0
+
+
+def _listed(parsed: DataFrame, asked: DataFrame, experiments: DataFrame, held: DataFrame, keys: list[str], order: list[str], limit: int | None) -> DataFrame:
+    """For each question the first rows of ``held`` (which carry their experiment's shape) that agree in ``keys``.
+
+    Rows come from the experiments that fit the question's filters, or from all of them if it
+    has none. Equal filters are looked up once; without filters the first rows overall serve every question.
+    """
+    from attestry.operators.keyed import first_n
+
+    by = [F.col(c) for c in order]
+    fits = _fitting_shapes(parsed.filter(_filtered()), experiments)[0].select("signature", "shape")
+    wanted = asked.filter("_filtered").select("signature", *keys).distinct().join(fits, "signature")
+    some = first_n(wanted.join(held, ["shape", *keys]), ["signature", *keys], by, limit)
+    first = held if limit is None or keys else held.orderBy(*by).limit(limit)
+    free = first_n(first, keys, by, limit)
+    bare = asked.filter("not _filtered")
+    bare = bare.join(free, keys) if keys else bare.crossJoin(free)  # the block itself, ``limit`` rows a question
+    return asked.filter("_filtered").join(some, ["signature", *keys]).unionByName(bare).drop("signature", "shape", "_filtered")
+
+
+def _placed(rows: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Rows of experiments with the shape of their experiment."""
+    return rows.join(_shaped(experiments).select("slug", "ord", "shape"), ["slug", "ord"])
+
+
+def training_values(parsed: DataFrame, experiments: DataFrame, settings: DataFrame, limit: int | None = 40) -> DataFrame:
+    """The reported values behind a training block, at most ``limit`` (None: all) per question and field.
+
+    The counts in ``answers`` are never cut. settings(slug, ord, field, value_json, unit, page, quote).
+    """
+    asked = _scope(parsed, F.lit(True), F.explode("fields").alias("field"))
+    return _listed(parsed, asked, experiments, _placed(settings, experiments), ["field"], ["slug", "ord"], limit)
+
+
+def result_values(parsed: DataFrame, experiments: DataFrame, results: DataFrame, limit: int | None = 40) -> DataFrame:
+    """The measured values behind a results block. results(slug, ord, pos, metric, value, unit, page, quote, ...)."""
+    asked = _scope(parsed, F.col("asks_for_results"))
+    return _listed(parsed, asked, experiments, _placed(results, experiments), [], ["slug", "ord", "pos"], limit)
+
+
+def experiment_values(parsed: DataFrame, experiments: DataFrame, limit: int | None = 40) -> DataFrame:
+    """The experiments behind a question that names nothing but filters, with the settings that each reports."""
+    c = F.col
+    asked = _scope(parsed, (F.size("fields") == 0) & ~c("asks_for_results") & ~c("asks_for_limitations"))
+    held = _shaped(experiments).select("slug", "ord", "task", "family", "method", "datasets", "variable", "reported", "shape")
+    return _listed(parsed, asked, experiments, held, [], ["slug", "ord"], limit)
+
+
+def limitation_values(parsed: DataFrame, experiments: DataFrame, limitations: DataFrame, limit: int | None = 40) -> DataFrame:
+    """The stated limitations behind a limitations block. limitations(slug, pos, theme, page, quote).
+
+    A question with filters sees the papers that have a fitting experiment; one without sees all. Themes
+    are a small vocabulary, so the first rows of each serve every unfiltered question.
     """
     from attestry.operators.keyed import first_n
 
-    filtered = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    asked = _signature(parsed.filter("understood")).select("question_id", "signature", filtered.alias("_filtered"), F.explode("fields").alias("field"))
-    held = settings.join(_shaped(experiments).select("slug", "ord", "shape"), ["slug", "ord"])
-    order = [F.col("slug"), F.col("ord")]
-    fits = _fitting_shapes(parsed.filter(filtered), experiments)[0].select("signature", "shape")
-    wanted = asked.filter("_filtered").select("signature", "field").distinct().join(fits, "signature")
-    some = first_n(wanted.join(held, ["shape", "field"]), ["signature", "field"], order, limit)
-    free = first_n(held, ["field"], order, limit)
-    out = asked.filter("_filtered").join(some, ["signature", "field"]).unionByName(asked.filter("not _filtered").join(free, "field"))
-    return out.drop("signature", "shape", "_filtered")
+    by = [F.col("slug"), F.col("pos")]
+    asked = _scope(parsed, F.col("asks_for_limitations"), "themes").withColumn("combo", F.sha2(F.to_json(F.struct("signature", "themes")), 256))
+    combos = asked.select("combo", "signature", "themes", "_filtered").distinct()
+    slugs = _fitting_shapes(parsed.filter(_filtered()), experiments)[0].select("signature", "slug").distinct()
+    fits = (F.size("themes") == 0) | F.array_contains("themes", F.col("theme"))
+    scoped = combos.filter("_filtered").join(slugs, "signature").join(limitations, "slug").filter(fits).select("combo", *limitations.columns)
+    per_theme = first_n(limitations, ["theme"], by, limit).drop("rank")
+    named = combos.filter("not _filtered").select("combo", F.explode("themes").alias("theme")).distinct().join(per_theme, "theme").select("combo", *limitations.columns)
+    first = limitations if limit is None else limitations.orderBy(*by).limit(limit)
+    free = combos.filter("not _filtered and size(themes) = 0").select("combo").crossJoin(first)  # one combination, ``limit`` rows
+    found = first_n(scoped.unionByName(named).unionByName(free), ["combo"], by, limit)
+    return asked.select("question_id", "combo").join(found, "combo").drop("combo")

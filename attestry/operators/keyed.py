@@ -30,10 +30,11 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """At most n rows per key in the given order, numbered from 1."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """At most n rows per key in the given order, numbered from 1. None keeps all rows, without numbers: no key is sorted whole."""
+    if n is None:
+        return df.withColumn(rank, F.lit(None).cast("int"))
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,8 @@ Inputs are field states in long form and papers(paper_id, seq, title, year, work
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from attestry.functions import evidence as E
 from attestry.functions import vocabulary as V
 from attestry.functions.text import drill_path
 from attestry.operators.analytics import union
-from attestry.operators.keyed import first_n, page
+from attestry.operators.keyed import first_n
 
 
 def landing_fields(states: DataFrame, papers: DataFrame) -> DataFrame:
@@ -76,13 +78,21 @@ def year_histogram(fields: DataFrame, papers: DataFrame, as_of_year: int) -> Dat
     return dated.groupBy("year").agg(F.count_if("_any").alias("papers_with_extracted_fields"), F.count_if(~F.col("_any")).alias("bibliography_only"))
 
 
-def named_values(fields: DataFrame, path: str) -> DataFrame:
-    """Distinct values per paper of a field with usable evidence. A list of several values has no
+NAMED = {"architecture": "architecture.family", "dataset": "data.datasets"}
+
+
+def _single_value() -> Column:
+    """The one value of a field whose evidence shows it, else null. A list of several values has no
     source for each of them, so only single values count."""
+    first = F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v[0]")
+    text = F.trim(F.when(F.startswith("value_json", F.lit("[")), first).otherwise(E.plain(F.col("value_json"))))
+    return F.when(E.display_source(F.col("sources"), F.col("value_json"), for_one_value=True).isNotNull() & (text != ""), text)
+
+
+def named_values(fields: DataFrame, path: str) -> DataFrame:
+    """Distinct values per paper of a field with usable evidence."""
     rows = fields.filter((F.col("field_path") == path) & F.col("processed") & F.col("usable_fact"))
-    single = rows.filter(E.display_source(F.col("sources"), F.col("value_json"), for_one_value=True).isNotNull())
-    text = F.when(F.startswith("value_json", F.lit("[")), F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v[0]")).otherwise(E.plain(F.col("value_json")))
-    return single.withColumn("matched_value", F.trim(text)).filter("matched_value <> ''")
+    return rows.withColumn("matched_value", _single_value()).filter("matched_value is not null")
 
 
 def named_tally(fields: DataFrame, path: str, dimension: str) -> DataFrame:
@@ -113,24 +123,55 @@ def first_conflict(fields: DataFrame) -> DataFrame:
     return rows.orderBy("seq", "pos").limit(1)
 
 
+def _behind(dimension: str, key: str) -> Column:
+    """Whether a field row (a paper row, for workflow and years) is counted under this key."""
+    c = F.col
+    if dimension == "workflow":
+        return c("workflow_status") == key
+    if dimension in ("year_extracted", "year_bibliographic"):
+        year = int(key) if key.lstrip("-").isdigit() else None
+        return (c("year") == F.lit(year)) & (c("_any") == F.lit(dimension == "year_extracted"))
+    if dimension == "status":
+        return c("processed") & (c("status") == key)
+    if dimension == "section":
+        return c("processed") & c("claimed") & (c("section") == key)
+    if dimension == "limitation":
+        return c("processed") & c("usable_limitation") & (c("field_path") == f"limitations.{key}")
+    return (c("field_path") == NAMED[dimension]) & c("processed") & c("usable_fact") & (_single_value() == key)
+
+
+PAPER_DIMENSIONS = ("workflow", "year_extracted", "year_bibliographic")
+
+
+def drilldowns(fields: DataFrame, papers: DataFrame, wanted: Sequence[tuple[str, str]], limit: int, offset: int = 0) -> DataFrame:
+    """One page of the evidence or paper rows behind each wanted (dimension, key); ``total`` is uncut.
+
+    Every row is tagged with the counts it stands behind in one pass; the pages are a ranked
+    filter, which Spark cuts to limit + offset rows per count and task before it shuffles.
+    """
+    columns = ["dimension", "key", "paper_id", "field_path", "seq", "pos"]
+
+    def tagged(df: DataFrame, some: Sequence[tuple[str, str]], *columns: Column | str) -> DataFrame:
+        tags = F.array_compact(F.array(*[F.when(_behind(d, k), F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("key"))) for d, k in some]))
+        return df.select(*columns, F.explode(tags).alias("t")).select("t.*", "paper_id", "field_path", "seq", "pos")
+
+    parts = []
+    by_field = [w for w in wanted if w[0] not in PAPER_DIMENSIONS]
+    if by_field:
+        parts.append(tagged(fields, by_field, "paper_id", "field_path", "seq", "pos"))
+    by_paper = [w for w in wanted if w[0] in PAPER_DIMENSIONS]
+    if by_paper:
+        rows = papers
+        if any(d != "workflow" for d, _ in by_paper):
+            any_claim = fields.groupBy("paper_id").agg(F.bool_or("claimed").alias("_any"))
+            rows = papers.join(any_claim, "paper_id", "left").withColumn("_any", F.coalesce("_any", F.lit(False)))
+        parts.append(tagged(rows, by_paper, "paper_id", F.lit("").alias("field_path"), "seq", F.lit(0).alias("pos")))
+    found = union(parts)
+    totals = found.groupBy("dimension", "key").agg(F.count("*").alias("total"))  # one row per wanted count
+    ranked = first_n(found, ["dimension", "key"], [F.col("seq"), F.col("pos")], offset + limit, "_place").filter(F.col("_place") > offset)
+    return ranked.join(F.broadcast(totals), ["dimension", "key"]).select(*columns, "total")
+
+
 def drilldown(fields: DataFrame, papers: DataFrame, dimension: str, key: str, limit: int, offset: int = 0) -> DataFrame:
     """The evidence or paper rows behind one count of the overview; ``total`` is uncut."""
-    if dimension in ("workflow", "year_extracted", "year_bibliographic"):
-        if dimension == "workflow":
-            rows = papers.filter(F.col("workflow_status") == key)
-        else:
-            year = int(key) if key.lstrip("-").isdigit() else None
-            any_claim = fields.groupBy("paper_id").agg(F.bool_or("claimed").alias("_any"))
-            dated = papers.filter(F.col("year") == F.lit(year)).join(any_claim, "paper_id", "left")
-            rows = dated.filter(F.coalesce("_any", F.lit(False)) == F.lit(dimension == "year_extracted")).drop("_any")
-        return page(rows.select("paper_id", F.lit("").alias("field_path"), "seq", F.lit(0).alias("pos")), [F.col("seq")], limit, offset)
-    if dimension == "status":
-        rows = fields.filter(F.col("processed") & (F.col("status") == key))
-    elif dimension == "section":
-        rows = fields.filter(F.col("processed") & F.col("claimed") & (F.col("section") == key))
-    elif dimension == "limitation":
-        rows = fields.filter(F.col("processed") & F.col("usable_limitation") & (F.col("field_path") == f"limitations.{key}"))
-    else:
-        path = {"architecture": "architecture.family", "dataset": "data.datasets"}[dimension]
-        rows = named_values(fields, path).filter(F.col("matched_value") == key)
-    return page(rows.select("paper_id", "field_path", "seq", "pos"), [F.col("seq"), F.col("pos")], limit, offset)
+    return drilldowns(fields, papers, [(dimension, key)], limit, offset).drop("dimension", "key").orderBy("seq", "pos")

@@ -163,7 +163,7 @@ def by_name(name: str = "canonical_name", tie: str = "entity_id") -> list[Column
 
 def entity_mentions(entity_rows: DataFrame, mention_rows: DataFrame) -> DataFrame:
     """Entities with every mention and its evidence in order, as long rows."""
-    m = mention_rows.select("entity_type", "normalized_key", "mention_id", "paper_id", "field_path", F.posexplode_outer("evidence").alias("evidence_order", "s"))
+    m = mention_rows.select("entity_type", "normalized_key", "mention_id", "paper_id", "field_path", "alternative_index", F.posexplode_outer("evidence").alias("evidence_order", "s"))
     return entity_rows.join(m, ["entity_type", "normalized_key"], "left").select("*", "s.*").drop("s")
 
 

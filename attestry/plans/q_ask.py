@@ -95,8 +95,11 @@ def question_caveats(spark, sf):
     return K.caveats(p, K.answers(p, experiments(spark, sf), limitations(spark, sf)), shared)
 
 
-@query("question_values", f"""with {_P}, x as (select p.question_id, e.slug, e.ord from p join e on understood and nf > 0 and (len(p.task) = 0 or list_contains(p.task, e.task)) and ((len(p.family) = 0 and len(p.method) = 0) or coalesce(list_contains(p.family, e.family), false) or coalesce(list_contains(p.method, e.method), false))
-  and (len(p.dataset_group) = 0 or list_contains(p.dataset_group, e.ds)) and (len(p.variable) = 0 or coalesce(list_contains(p.variable, e.variable), false))),
+_X = f"""{_P}, x as (select p.question_id, e.slug, e.ord from p join e on understood and nf > 0 and (len(p.task) = 0 or list_contains(p.task, e.task)) and ((len(p.family) = 0 and len(p.method) = 0) or coalesce(list_contains(p.family, e.family), false) or coalesce(list_contains(p.method, e.method), false))
+  and (len(p.dataset_group) = 0 or list_contains(p.dataset_group, e.ds)) and (len(p.variable) = 0 or coalesce(list_contains(p.variable, e.variable), false)))"""
+
+
+@query("question_values", f"""with {_X},
 s as (select source as slug, doc_id as ord, case doc_id % 3 when 0 then 'loss' when 1 then 'learning_rate' else 'hardware' end as field, n_chars::varchar as value_json from documents)
 select * from (select p.question_id, s.slug, s.ord, s.field, s.value_json, row_number() over (partition by p.question_id, s.field order by s.slug, s.ord) as rank from p join x using (question_id) join s on s.slug = x.slug and s.ord = x.ord and list_contains(p.fields, s.field)) where rank <= 40
 union all select p.question_id, a.slug, a.ord, a.field, a.value_json, a.place as rank from p join (select *, row_number() over (partition by field order by slug, ord) as place from s join (select slug, ord from e) using (slug, ord)) a on a.place <= 40 and list_contains(p.fields, a.field) where understood and nf = 0""")
@@ -105,6 +108,37 @@ def question_values(spark, sf):
     return K.training_values(parsed(spark, sf), experiments(spark, sf), settings).select("question_id", "slug", "ord", "field", "value_json", "rank")
 
 
+@query("question_results", f"""with {_X},
+r as (select source as slug, doc_id as ord, i as pos, case i when 0 then 'M' else 'N' end as metric, n_chars + i as value from documents, (select unnest([0, 1]) as i) where doc_id % 4 = 0),
+c as (select p.question_id, r.* from p join x using (question_id) join r on r.slug = x.slug and r.ord = x.ord where p.res
+  union all select p.question_id, a.* from p join (select * from r order by slug, ord, pos limit 40) a on true where understood and p.res and nf = 0)
+select *, row_number() over (partition by question_id order by slug, ord, pos) as rank from c qualify rank <= 40""")
+def question_results(spark, sf):
+    """Every fourth document has two results."""
+    r = table(spark, sf, "documents").filter("doc_id % 4 = 0").selectExpr("source as slug", "doc_id as ord", "n_chars", "explode(array(0, 1)) as pos")
+    r = r.selectExpr("slug", "ord", "pos", "if(pos = 0, 'M', 'N') as metric", "n_chars + pos as value")
+    return K.result_values(parsed(spark, sf), experiments(spark, sf), r).select("question_id", "slug", "ord", "pos", "metric", "value", "rank")
+
+
+@query("question_experiments", f"""with {_X}
+select p.question_id, e.slug, e.ord, e.task, e.family, coalesce(e.method, '') as method, coalesce(e.variable, '') as variable,
+  concat_ws('|', case when r_lr then 'learning_rate' end, case when r_loss then 'loss' end, case when r_hw then 'hardware' end) as reported, row_number() over (partition by p.question_id order by e.slug, e.ord) as place
+from p join x using (question_id) join e on e.slug = x.slug and e.ord = x.ord where len(p.fields) = 0 and not p.res and not p.lim qualify place <= 40""")
+def question_experiments(spark, sf):
+    out = K.experiment_values(parsed(spark, sf), experiments(spark, sf))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("question_id", "slug", "ord", "task", "family", text("method"), text("variable"), F.array_join("reported", "|").alias("reported"), F.col("rank").alias("place"))
+
+
+@query("question_limitations", f"""with {_X},
+li as (select source as slug, doc_id as pos, case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme, n_chars % 30 as page from documents where doc_id % 7 = 0),
+c as (select p.question_id, li.* from p join li on (len(p.themes) = 0 or list_contains(p.themes, li.theme)) and (p.nf = 0 or li.slug in (select x.slug from x where x.question_id = p.question_id)) where understood and lim)
+select *, row_number() over (partition by question_id order by slug, pos) as rank from c qualify rank <= 40""")
+def question_limitations(spark, sf):
+    li = table(spark, sf, "documents").filter("doc_id % 7 = 0").selectExpr("source as slug", "doc_id as pos", "case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme", "n_chars % 30 as page")
+    return K.limitation_values(parsed(spark, sf), experiments(spark, sf), li).select("question_id", "slug", "pos", "theme", "page", "rank")
+
+
 # --- extraction -------------------------------------------------------------------------
 
 _TEXT = """text || case doc_id % 6 when 0 then '. The learning rate of 0.0' || (doc_id % 4) || ' was fixed. A batch size of ' || (doc_id % 64) || ' is used.' when 1 then '. Here we used Set A, Set B and Set C for training runs. The learning rate was 0.001 there. The learning rate was 0.002 later.'

@@ -82,7 +82,7 @@ def entity_list(spark, sf):
 @query("entity_evidence", f"""with {_MEN} select entity_type, normalized_key, paper_id, coalesce(alt, -1) as alternative_index, case when n_evidence = 0 then -1 when alt = 1 then 3 else 2 end as page from men""")
 def entity_evidence(spark, sf):
     m = mentions(spark, sf)
-    rows = R.entity_mentions(R.entities(m), m).join(m.select("mention_id", "alternative_index"), "mention_id")
+    rows = R.entity_mentions(R.entities(m), m)
     return rows.select("entity_type", "normalized_key", "paper_id", F.coalesce("alternative_index", F.lit(-1)).alias("alternative_index"), F.coalesce("page", F.lit(-1)).alias("page"))
 
 
@@ -335,11 +335,7 @@ select dimension, paper_id, field_path, count(*) over (partition by dimension) a
 def landing_drilldown(spark, sf):
     f, p = fields(spark, sf), papers(spark, sf)
     wanted = (("status", "VERIFIED"), ("section", "training"), ("limitation", "data"), ("dataset", "D3"), ("architecture", "U  Net 1"), ("workflow", "PARTIAL"), ("year_extracted", "1997"))
-    out = None
-    for dimension, key in wanted:
-        rows_ = D.drilldown(f, p, dimension, key, 20, 5).select(F.lit(dimension).alias("dimension"), "paper_id", "field_path", "total")
-        out = rows_ if out is None else out.unionByName(rows_)
-    return out
+    return D.drilldowns(f, p, wanted, 20, 5).select("dimension", "paper_id", "field_path", "total")
 
 
 # --- benchmark --------------------------------------------------------------------------
