@@ -5,8 +5,8 @@ pitch classes by time, 16 rectangular filters are evaluated by an integral image
 frame carries a packed 32-bit integer. Recordings with equal fingerprints form a class.
 
 Search: frames whose hash is least among their neighbours are anchors, the same ones wherever a stretch of sound occurs.
-Query anchors meet all anchors in a join; a histogram of offsets per pair of classes finds the alignment, and the share of different
-bits along the overlap confirms it.
+A copy rarely starts on a multiple of the hop, so a query is fingerprinted at several phases of it. Its anchors meet all anchors
+in a join; a histogram of offsets per pair of classes and phase finds the alignment, and the share of different bits along the overlap confirms it.
 
 Defined cases: null or short sound (less than one filter's width) has no frames, its own class and no match; rows that share an id and
 the sound get the same answer; silence has the code of an even spectrum.
@@ -25,9 +25,10 @@ from attestry.llm.common import stored
 from attestry.llm.words import STEPS, mix
 from attestry.session import cut_lineage
 
-FRAME, HOP, RATE, WIDTH = 256, 32, 8000, 16
+FRAME, HOP, RATE, WIDTH = 128, 32, 8000, 8
 PITCHES = 12
 STEP = 0.08  # distance of the two outer thresholds from 0
+PHASED = "class_id long, phase int, frames binary"
 PRINTS = "clip_id long, clip_hash long, n_frames long, class_a long, class_b long, frames binary"
 
 
@@ -108,13 +109,27 @@ def fingerprints(clips: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, PRINTS)
 
 
+def phased(clips: DataFrame, phases: int) -> DataFrame:
+    """(class_id, phase, frames) of (class_id, sound): the packed frames as if the sound began ``phase`` samples later."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, sound in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                samples = np.frombuffer(sound.as_buffer(), dtype=np.uint8)
+                starts = range(0, HOP, max(1, HOP // phases))
+                frames = [fingerprint(samples[s:]).tobytes() for s in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(frames), pa.int64()), pa.array(starts, pa.int32()), pa.array(frames, pa.binary())], names=["class_id", "phase", "frames"])
+
+    return clips.select("class_id", "sound").mapInArrow(scan, PHASED)
+
+
 def anchors(classes: DataFrame, reach: int) -> DataFrame:
-    """(class, key, at): hashes of three frames, where they are least among ``reach`` neighbours to both sides."""
+    """(class_id, phase, key, at): hashes of three frames, where they are least among ``reach`` neighbours to both sides."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys, places = [], [], []
-            for name, packed in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+            names, turns, keys, places = [], [], [], []
+            for name, turn, packed in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
                 p = np.frombuffer(packed.as_buffer(), dtype=np.uint32).astype(np.uint64)
                 if len(p) < 3:
                     continue
@@ -122,14 +137,16 @@ def anchors(classes: DataFrame, reach: int) -> DataFrame:
                 wide = np.concatenate((np.full(reach, 2**64 - 1, np.uint64), key, np.full(reach, 2**64 - 1, np.uint64)))
                 least = np.flatnonzero(key == np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1).min(axis=1))
                 least = least[np.concatenate(([True], key[least][1:] != key[least][:-1]))]  # a held tone has one anchor
-                names.append(np.full(len(least), name)), keys.append(key[least].view(np.int64)), places.append(least)
+                names.append(np.full(len(least), name)), turns.append(np.full(len(least), turn))
+                keys.append(key[least].view(np.int64)), places.append(least)
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (names, keys, places)], names=["class_id", "key", "at"])
+                cells = ((names, pa.int64()), (turns, pa.int32()), (keys, pa.int64()), (places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in cells], names=["class_id", "phase", "key", "at"])
 
-    return classes.select("class_id", "frames").mapInArrow(pick, "class_id long, key long, at long")
+    return classes.select("class_id", "phase", "frames").mapInArrow(pick, "class_id long, phase int, key long, at long")
 
 
-def aligned(clips: DataFrame, is_query: Column, reach: int = 8, min_votes: int = 3, max_bits: float = 0.3, min_overlap: float = 0.5) -> DataFrame:
+def aligned(clips: DataFrame, is_query: Column, reach: int = 2, phases: int = 16, min_votes: int = 1, max_bits: float = 0.3, min_overlap: float = 0.5) -> DataFrame:
     """One row per clip: clip_id, n_frames, class_id, is_query, and for a query its matches among all other classes.
 
     n_matches counts the classes that align (at least ``min_votes`` anchors at one offset, ``min_overlap`` of the shorter recording,
@@ -141,29 +158,36 @@ def aligned(clips: DataFrame, is_query: Column, reach: int = 8, min_votes: int =
     named = full.groupBy(*key).agg(F.min("clip_id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
     held = full.join(named.withColumnRenamed("class_id", "clip_id"), [*key, "clip_id"]).select(F.col("clip_id").alias("class_id"), "n_frames", "frames", "asked").dropDuplicates(["class_id", "n_frames"])
     held = stored(held, "media-classes")
-    index = stored(anchors(held, reach), "media-anchors")
-    q = index.join(held.filter("asked = 1").select("class_id"), "class_id").select(F.col("class_id").alias("query"), "key", F.col("at").alias("q_at"))
-    votes = q.join(index, "key").filter("query <> class_id").groupBy("query", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.filter(F.col("votes") >= min_votes).groupBy("query", "class_id").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift"))["shift"].alias("shift"))
-    best = cut_lineage(best)
+    index = anchors(held.withColumn("phase", F.lit(0)), reach).drop("phase")
+    # one asked clip speaks for each class
+    asking = full.withColumn("_asks", F.coalesce(is_query, F.lit(False))).filter("_asks").join(named.select(*key, "class_id"), key)
+    asking = asking.groupBy("class_id").agg(F.min(F.struct("clip_id", "clip_hash")).alias("c")).select("class_id", "c.clip_id", "c.clip_hash")
+    sounds = clips.filter(is_query).select(F.col("clip_id").cast("long").alias("clip_id"), F.col("sound").cast("binary").alias("sound"))
+    sounds = sounds.withColumn("clip_hash", F.xxhash64("sound")).join(asking, ["clip_id", "clip_hash"]).dropDuplicates(["class_id"])
+    turned = stored(phased(sounds, phases), "media-queries")
+    q = anchors(turned, reach).select(F.col("class_id").alias("query"), "phase", "key", F.col("at").alias("q_at"))
+    votes = q.join(index, "key").filter("query <> class_id").groupBy("query", "phase", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
+    top = F.max(F.struct("votes", (-F.abs("shift")).alias("near"), (-F.col("phase")).alias("early"), "shift"))
+    best = votes.filter(F.col("votes") >= min_votes).groupBy("query", "class_id").agg(top.alias("b"))
+    best = cut_lineage(best.select("query", "class_id", "b.shift", (-F.col("b.early")).alias("phase")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wrong, over = [], []
-            for shift, left, right in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for shift, left, right in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 a, b = np.frombuffer(left.as_buffer(), dtype=np.uint32), np.frombuffer(right.as_buffer(), dtype=np.uint32)
                 a, b = a[max(0, -shift) :], b[max(0, shift) :]
                 n = min(len(a), len(b))
                 wrong.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n else 1.0)
                 over.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(wrong, pa.float64()), pa.array(over, pa.int64())], names=["query", "class_id", "shift", "errors", "overlap"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(wrong, pa.float64()), pa.array(over, pa.int64())], names=["query", "class_id", "shift", "phase", "errors", "overlap"])
 
-    left = held.select(F.col("class_id").alias("query"), F.col("frames").alias("q_frames"), F.col("n_frames").alias("q_n"))
-    pairs = best.join(left, "query").join(held.select("class_id", "frames", "n_frames"), "class_id")
-    checked = pairs.select("query", "class_id", "shift", "q_frames", "frames").mapInArrow(compare, "query long, class_id long, shift long, errors double, overlap long")
+    left = turned.select(F.col("class_id").alias("query"), "phase", F.col("frames").alias("q_frames"))
+    pairs = best.join(left, ["query", "phase"]).join(held.select("class_id", "frames"), "class_id")
+    checked = pairs.select("query", "class_id", "shift", "phase", "q_frames", "frames").mapInArrow(compare, "query long, class_id long, shift long, phase int, errors double, overlap long")
     sizes = held.select("class_id", "n_frames")
     good = checked.join(sizes.withColumnsRenamed({"class_id": "query", "n_frames": "q_n"}), "query").join(sizes, "class_id").filter((F.col("errors") <= max_bits) & (F.col("overlap") >= min_overlap * F.least("q_n", "n_frames")))
-    per = good.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("errors", "class_id", "shift")).alias("b")).select(F.col("query").alias("class_id"), "n_matches", F.col("b.class_id").alias("best_class"), (F.col("b.shift") * HOP).alias("best_offset"), F.col("b.errors").alias("best_errors"))
+    per = good.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("errors", "class_id", "shift", "phase")).alias("b")).select(F.col("query").alias("class_id"), "n_matches", F.col("b.class_id").alias("best_class"), (F.col("b.shift") * HOP - F.col("b.phase")).alias("best_offset"), F.col("b.errors").alias("best_errors"))
     rows = found.join(named.select(*key, "class_id"), key, "left").withColumn("class_id", F.coalesce("class_id", "clip_id")).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     out = rows.join(per, "class_id", "left")
     asked = lambda c: F.when(F.col("is_query"), F.col(c))
