@@ -402,6 +402,34 @@ def test_shards_are_even_and_gapless(spark, corpus):
     assert shard.sharded(frame(spark, [])).count() == 0
 
 
+def test_chroma_search_finds_edited_texts_at_any_phase(spark):
+    """Near copies (five-word sets at 0.75 or more) whose edits shift the rest by any number of bytes, against brute force over all shifts."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 10))) for _ in range(400)]
+    texts = {}
+    for k in range(12):
+        own = list(rng.choice(vocabulary, 300))
+        texts[50 * k] = " ".join(own)
+        for copy in range(3):
+            edited = list(own)
+            for place in rng.choice(300, 4, replace=False):
+                edited[place] = str(rng.choice(vocabulary)) + "x" * int(rng.integers(0, 5))
+            texts[50 * k + copy + 1] = " ".join(edited)
+    clips = frame(spark, [(k, t.encode()) for k, t in texts.items()], "clip_id long, sound binary")
+    got = {r["clip_id"]: r for r in media.aligned(clips, F.col("clip_id") % 50 == 0).collect()}
+    prints = {k: media.fingerprint(np.frombuffer(t.encode(), dtype=np.uint8)) for k, t in texts.items()}
+
+    def errors(a, b):
+        return min(np.bitwise_count(x[: min(len(x), len(y))] ^ y[: min(len(x), len(y))]).mean() / 32 for s in range(-8, 9) for x, y in [(a[max(0, -s) :], b[max(0, s) :])])
+
+    true = [(q, c) for q in texts if q % 50 == 0 for c in (q + 1, q + 2, q + 3) if errors(prints[q], prints[c]) <= 0.3]
+    assert len(true) >= 30
+    assert sum(got[q]["n_matches"] for q in texts if q % 50 == 0) >= 0.9 * len(true)
+    assert np.mean([got[q]["best_class"] in (q + 1, q + 2, q + 3) for q in texts if q % 50 == 0]) >= 0.9
+
+
 def test_chroma_prints_align_shifted_copies(spark):
     import numpy as np
 
