@@ -7,8 +7,9 @@ pass meet the benchmark in an exact hash join. Matches on one diagonal (document
 alignment; along it the values in the placeholders are compared: each value of the item must always stand
 for one value of the document, and different names for different names.
 
-A window counts if at least half of it is literal, or if its values are the item's own. A document is contaminated
-by an item if an alignment has at least ``enough`` counting windows (all of the item's, if it has fewer) and consistent slots.
+A window counts if at least half of it is literal, or if its values are the item's own (it is verbatim). A document is contaminated
+by an item if an alignment has at least ``enough`` (all of the item's, if it has fewer) verbatim windows, whatever its other
+windows hold, or as many counting windows with consistent slots. In an alignment without consistent slots only verbatim windows count.
 
 Defined cases: a text with fewer tokens than the window has one window, the whole; a text without tokens (or null) has none;
 rows with the same id and text get the same answer; benchmark items with the same text are told apart by id, the smallest wins a tie.
@@ -86,7 +87,7 @@ def _slots(item: Column, doc: Column, kinds: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int = 6) -> DataFrame:
-    """One row per document text and item that align: doc_id, text_hash, item_id, windows, needed, n_slots, n_changed, consistent."""
+    """One row per document text and item that align: doc_id, text_hash, item_id, windows, verbatim, needed, n_slots, n_changed, consistent, contaminated."""
     items = benchmark.select("item_id", F.explode(windows(tokens(F.col("text")), window)).alias("w")).select("item_id", "w.*").withColumnsRenamed({"at": "place", "raw": "item_raw"}).drop("kinds")
     index = F.shiftrightunsigned("screen", 50).cast("int")
     cells = items.groupBy(index.alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("screen").bitwiseAND(63).cast("int"))).alias("cell"))
@@ -104,31 +105,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int
     slots = _slots(F.col("item_raw"), F.col("raw"), F.col("kinds"))
     literal = F.size("item_raw") - F.size(slots)
     same = F.transform("item_raw", F.lower) == F.transform("raw", F.lower)
-    scored = pairs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place", slots.alias("slots"), (same | (literal * 2 >= F.size("item_raw"))).alias("counts"))
+    scored = pairs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place", slots.alias("slots"), same.alias("same"), (same | (literal * 2 >= F.size("item_raw"))).alias("counts"))
     sized = items.groupBy("item_id").agg(F.countDistinct("place").alias("n_windows"))
     aligned = scored.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
-        F.count_distinct(F.when(F.col("counts"), F.col("place"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.count_distinct(F.when(F.col("counts"), F.col("place"))).alias("counting"), F.count_distinct(F.when(F.col("same"), F.col("place"))).alias("verbatim"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     n = lambda c: F.size(F.array_distinct(c))
     name = F.filter("slots", lambda s: s["type"] == NAMED)
     one_way = n(F.transform("slots", lambda s: F.struct(s["type"], s["item"]))) == F.size("slots")
     other_way = n(F.transform(name, lambda s: s["doc"])) == F.size(name)
     changed = F.size(F.filter("slots", lambda s: s["item"] != s["doc"]))
-    joined = aligned.join(sized, "item_id").withColumn("needed", F.least(F.lit(enough), "n_windows"))
+    joined = aligned.join(sized, "item_id").withColumn("needed", F.least(F.lit(enough), "n_windows")).withColumn("consistent", one_way & other_way)
+    held = F.when(F.col("consistent"), F.col("counting")).otherwise(F.col("verbatim"))
     return joined.select(
-        "doc_id", "text_hash", "item_id", "shift", "windows", "n_windows", "needed",
-        F.size("slots").alias("n_slots"), changed.alias("n_changed"), (one_way & other_way).alias("consistent"),
+        "doc_id", "text_hash", "item_id", "shift", held.alias("windows"), "verbatim", "n_windows", "needed",
+        F.size("slots").alias("n_slots"), changed.alias("n_changed"), "consistent", (held >= F.col("needed")).alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int = 6) -> DataFrame:
     """doc_id and text_hash of every row, with the item that it holds most of: item_id, windows, n_windows, n_slots, n_changed,
-    verdict (verbatim, reparameterised or clean)."""
-    found = matches(docs, benchmark, window, enough).filter((F.col("windows") >= F.col("needed")) & F.col("consistent"))
+    verdict (verbatim if it has the needed windows word for word, else reparameterised or clean)."""
+    found = matches(docs, benchmark, window, enough).filter("contaminated")
     best = found.groupBy("doc_id", "text_hash").agg(
-        F.max(F.struct("windows", (-F.col("n_changed")).alias("same"), (-F.col("item_id")).alias("first"), "n_windows", "n_slots")).alias("b")
-    ).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (-F.col("b.first")).alias("item_id"), "b.windows", "b.n_windows", "b.n_slots", (-F.col("b.same")).alias("n_changed"))
+        F.max(F.struct("windows", (-F.col("n_changed")).alias("same"), (-F.col("item_id")).alias("first"), "n_windows", "n_slots", (F.col("verbatim") >= F.col("needed")).alias("exact"))).alias("b")
+    ).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (-F.col("b.first")).alias("item_id"), "b.windows", "b.n_windows", "b.n_slots", (-F.col("b.same")).alias("n_changed"), F.col("b.exact").alias("_exact"))
     rows = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     joined = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
-    verdict = F.when(F.col("item_id").isNull(), "clean").when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
-    return joined.withColumn("verdict", verdict)
+    verdict = F.when(F.col("item_id").isNull(), "clean").when(F.col("_exact"), "verbatim").otherwise("reparameterised")
+    return joined.withColumn("verdict", verdict).drop("_exact")

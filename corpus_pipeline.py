@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.matches(docs, benchmark).filter("windows >= needed and consistent").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    found = decontam.matches(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     found = cut_lineage(found)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
     return docs.join(found, same, "left_anti").select(*COLUMNS)

@@ -254,6 +254,15 @@ def test_decontamination_catches_templates_and_checks_slots(spark):
     assert all(got[k] == ("clean", None) for k in (3, 4, 5, 6, 8))
 
 
+def test_decontamination_counts_verbatim_windows_whatever_the_slots(spark):
+    tail = " while the old miller from the village counts every sack twice and writes the sum into a long grey book"
+    number = "They had 12 sheep on the hill and also 12 goats behind the barn" + tail
+    two = "In the spring, Alice walks to the lake and, Bob walks to the mill" + tail
+    rows = [(1, number.replace("12 goats", "13 goats"), "en", "s", 1), (2, two.replace("Alice", "Bob"), "en", "s", 1), (3, "Some words and " + number, "en", "s", 1),
+            (4, number.replace("12 goats", "13 goats")[:63], "en", "s", 1)]
+    assert verdicts(spark, rows, [(80, number), (81, two)]) == {1: ("verbatim", 80), 2: ("verbatim", 81), 3: ("verbatim", 80), 4: ("clean", None)}
+
+
 def test_decontamination_against_brute_force(spark, corpus):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     got = Counter((r["doc_id"], r["verdict"] != "clean") for r in decontam.decontaminated(corpus, bench).collect())

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def test_dedup_stage_keeps_one_of_each_group(stages):
     assert sum(i is None for i, _ in rows(stages[2])) == 1
 
 
+def test_decontamination_stage_drops_verbatim_text_with_an_altered_value(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) >= 40).rstrip(". ")
+    words = item.split()
+    held = " ".join([*words[:18], "12", *words[18:22], "12", *words[22:]])
+    altered = " ".join([*words[:18], "12", *words[18:22], "13", *words[22:]])
+    docs = spark.createDataFrame([(1, altered, "en", "s", 1), (2, "a text of its own", "en", "s", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame([(1, held)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert [r["doc_id"] for r in cp.decontaminate(spark, docs, at).collect()] == [2]
+
+
 def test_mixing_stage_writes_the_order(spark, stages):
     from attestry.llm.shard import numbered_by_file
 
