@@ -11,7 +11,10 @@ A window counts if at least half of it is literal, or if its values are the item
 by an item if an alignment has at least ``enough`` (all of the item's, if it has fewer) verbatim windows, whatever its other
 windows hold, or as many counting windows with consistent slots. In an alignment without consistent slots only verbatim windows count.
 
-Defined cases: a text with fewer tokens than the window has one window, the whole; a text without tokens (or null) has none;
+An item with fewer tokens than the window is one window, the whole, and documents are windowed at the lengths of such items too. The code
+of an item's first token depends on the text before it, which only the document has: the first window is kept with each code it can have.
+
+Defined cases: a text without tokens (or null) has no window; an item of a word or two is held by every document with these words;
 rows with the same id and text get the same answer; benchmark items with the same text are told apart by id, the smallest wins a tie.
 """
 
@@ -53,29 +56,60 @@ def _codes(t: Column) -> Column:
     return F.transform(t, code)
 
 
-def _screen(codes: Column, i: Column, window: int) -> Column:
+def _screen(codes: Column, i: Column, half, last) -> Column:
     """A cheap number of a window, from three of its tokens."""
     at = lambda k: F.get(codes, i + k)
-    return at(0).bitwiseXOR(F.shiftleft(at(window // 2), 1)).bitwiseXOR(F.shiftleft(at(window - 1), 2))
+    return at(0).bitwiseXOR(F.shiftleft(at(half), 1)).bitwiseXOR(F.shiftleft(at(last), 2))
 
 
-def windows(raw: Column, window: int, keep=None) -> Column:
-    """Array of (at, code, screen, raw tokens, kinds) of a token array; ``keep`` screens before the hash is taken.
+def _windows(t: Column, codes: Column, window: int, keep=None, lengths: Column | None = None) -> Column:
+    """Array of (at, code, screen, raw tokens, kinds) of tokens and their codes; ``keep`` screens before the hash is taken.
 
-    A text with fewer tokens than the window is one window, which is never screened out.
+    ``lengths`` names lengths under ``window``, at which windows are made too.
     """
-
-    def of(t: Column, codes: Column) -> Column:
-        n = F.size(codes)
-        at = F.sequence(F.lit(0), n - window)
-        at = at if keep is None else F.filter(at, lambda i: keep(_screen(codes, i, window)))
-        pick = lambda c, i: F.array(*[F.get(c, i + k) for k in range(window)])
-        long = F.transform(at, lambda i: F.struct(
-            i.alias("at"), F.xxhash64(*[F.get(codes, i + k) for k in range(window)]).alias("code"), _screen(codes, i, window).alias("screen"),
+    n = F.size(codes)
+    pick = lambda c, i: F.array(*[F.get(c, i + k) for k in range(window)])
+    kept = lambda at, screen: at if keep is None else F.filter(at, lambda i: keep(screen(i)))
+
+    def long() -> Column:
+        screen = lambda i: _screen(codes, i, window // 2, window - 1)
+        return F.transform(kept(F.sequence(F.lit(0), n - window), screen), lambda i: F.struct(
+            i.alias("at"), F.xxhash64(*[F.get(codes, i + k) for k in range(window)]).alias("code"), screen(i).alias("screen"),
             pick(t, i).alias("raw"), pick(codes, i).alias("kinds"),
         ))
-        short = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(codes).alias("code"), F.lit(0).cast("long").alias("screen"), t.alias("raw"), codes.alias("kinds")))
-        return F.when(n >= window, long).when(n > 0, short).otherwise(F.slice(short, F.lit(1), F.lit(0)))
+
+    def short(m: Column) -> Column:
+        screen = lambda i: _screen(codes, i, F.shiftright(m, 1), m - 1)
+        part = lambda c, i: F.slice(c, i + 1, m)
+        return F.transform(kept(F.sequence(F.lit(0), n - m), screen), lambda i: F.struct(
+            i.alias("at"), F.xxhash64(part(codes, i)).alias("code"), screen(i).alias("screen"), part(t, i).alias("raw"), part(codes, i).alias("kinds"),
+        ))
+
+    none = F.array().cast("array<struct<at:int,code:bigint,screen:bigint,raw:array<string>,kinds:array<bigint>>>")
+    whole = F.when(n >= window, long()).otherwise(none)
+    return whole if lengths is None else F.concat(whole, F.flatten(F.transform(F.filter(lengths, lambda m: m <= n), short)))
+
+
+def windows(raw: Column, window: int, keep, lengths: Column) -> Column:
+    """The windows of a document's tokens."""
+    return let(raw, lambda t: let(_codes(t), lambda c: _windows(t, c, window, keep, lengths)))
+
+
+def item_windows(raw: Column, window: int) -> Column:
+    """The windows of an item's tokens; an item with fewer than ``window`` is one, the whole.
+
+    Behind other text the first token can be a name or a unit, so the first window is also there as it is then.
+    """
+
+    def of(t: Column, codes: Column) -> Column:
+        n, first = F.size(t), F.get(t, 0)
+        own = F.filter(F.array(n), lambda m: m.between(1, window - 1))
+        begun = lambda a, b, when: F.when(when, F.filter(_windows(a, b, window, None, own), lambda w: w["at"] == 0)).otherwise(F.array())
+        swapped = lambda x, c: F.concat(F.array(x), F.slice(c, F.lit(2), n))
+        named = swapped(F.concat(F.lit("\x01"), first), t)
+        as_name = let(named, lambda x: let(_codes(x), lambda c: begun(x, c, first.rlike(r"^\p{Lu}\p{Ll}"))))
+        as_unit = let(swapped(F.lit(UNIT).cast("long"), codes), lambda c: begun(t, c, first.isin(*UNITS)))
+        return F.concat(_windows(t, codes, window, None, own), as_name, as_unit)
 
     return let(raw, lambda t: let(_codes(t), lambda c: of(t, c)))
 
@@ -88,18 +122,20 @@ def _slots(item: Column, doc: Column, kinds: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, enough: int = 6) -> DataFrame:
     """One row per document text and item that align: doc_id, text_hash, item_id, windows, verbatim, needed, n_slots, n_changed, consistent, contaminated."""
-    items = benchmark.select("item_id", F.explode(windows(tokens(F.col("text")), window)).alias("w")).select("item_id", "w.*").withColumnsRenamed({"at": "place", "raw": "item_raw"}).drop("kinds")
+    items = benchmark.select("item_id", F.explode(item_windows(tokens(F.col("text")), window)).alias("w")).select("item_id", "w.*").withColumnsRenamed({"at": "place", "raw": "item_raw"}).drop("kinds")
     index = F.shiftrightunsigned("screen", 50).cast("int")
     cells = items.groupBy(index.alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("screen").bitwiseAND(63).cast("int"))).alias("cell"))
     whole = docs.sparkSession.range(WORDS_IN_SET).select(F.col("id").cast("int").alias("i")).join(cells, "i", "left")
     bits = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("cell", F.lit(0).cast("long")).alias("cell")))), lambda s: s["cell"]).alias("bits"))
 
+    bits = bits.crossJoin(items.agg(F.collect_set(F.when(F.size("item_raw") < window, F.size("item_raw"))).alias("lengths")))
+
     def seen(screen: Column) -> Column:
         cell = F.get("bits", F.shiftrightunsigned(screen, 50).cast("int"))
         return F.getbit(cell, screen.bitwiseAND(63).cast("int")) == 1
 
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).crossJoin(F.broadcast(bits))
-    hits = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(tokens(F.col("text")), window, seen)).alias("w")).select("doc_id", "text_hash", "w.*").drop("screen")
+    hits = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(tokens(F.col("text")), window, seen, F.col("lengths"))).alias("w")).select("doc_id", "text_hash", "w.*").drop("screen")
 
     pairs = hits.join(items, "code")
     slots = _slots(F.col("item_raw"), F.col("raw"), F.col("kinds"))

@@ -263,6 +263,18 @@ def test_decontamination_counts_verbatim_windows_whatever_the_slots(spark):
     assert verdicts(spark, rows, [(80, number), (81, two)]) == {1: ("verbatim", 80), 2: ("verbatim", 81), 3: ("verbatim", 80), 4: ("clean", None)}
 
 
+def test_decontamination_finds_short_items_anywhere(spark):
+    items = [(90, "Which river crosses Bremen"), (91, "Which Saxon town has the oldest paper mill"), (92, "Tell me how many red boats lay in the small harbour then"), (93, "hours of rain fell over the hills"), (94, "seven green bottles")]
+    cases = {90: 0, 91: 1, 92: 2, 93: 3, 94: 4}
+    before = ("", "They all asked us, ", "He wrote down again ", "It ended. ", "After 12 ")
+    rows = [(10 * i + k, f"{text}{items[n][1]} and nobody in the room could say", "en", "s", 1) for i, n in cases.items() for k, text in enumerate(before)]
+    rows += [(1, "Which river crosses the town of Bremen and nobody could say it", "en", "s", 1), (2, "seven bottles, green", "en", "s", 1),
+             (3, "He asked, Which Saxon town has the oldest stone mill and nobody could say", "en", "s", 1), (4, "say seven green bottles", "en", "s", 1)]
+    got = verdicts(spark, rows, items)
+    assert {k: v for k, v in got.items() if k > 9} == {10 * i + k: ("verbatim", i) for i in cases for k in range(5)}
+    assert got[1] == got[2] == got[3] == ("clean", None) and got[4] == ("verbatim", 94)
+
+
 def test_decontamination_against_brute_force(spark, corpus):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     got = Counter((r["doc_id"], r["verdict"] != "clean") for r in decontam.decontaminated(corpus, bench).collect())
