@@ -6,7 +6,8 @@ frame carries a packed 32-bit integer. Recordings with equal fingerprints form a
 
 Search: frames whose hash is least among their neighbours are anchors, the same ones wherever a stretch of sound occurs.
 A copy rarely starts on a multiple of the hop, so a query is fingerprinted at several phases of it. Its anchors meet all anchors
-in a join; a histogram of offsets per pair of classes and phase finds the alignment, and the share of different bits along the overlap confirms it.
+in a join; a histogram of offsets per pair of classes and phase offers alignments, and the share of different bits along the overlap is taken
+at each of them before the best of a pair is kept.
 
 Defined cases: null or short sound (less than one filter's width) has no frames, its own class and no match; rows that share an id and
 the sound get the same answer; silence has the code of an even spectrum.
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from attestry.llm.common import stored
 from attestry.llm.words import STEPS, mix
-from attestry.session import cut_lineage
 
 FRAME, HOP, RATE, WIDTH = 128, 32, 8000, 8
 PITCHES = 12
 STEP = 0.08  # distance of the two outer thresholds from 0
+ROOM = 1 << 21  # frames compared at once
 PHASED = "class_id long, phase int, frames binary"
 PRINTS = "clip_id long, clip_hash long, n_frames long, class_a long, class_b long, frames binary"
 
@@ -146,10 +147,17 @@ def anchors(classes: DataFrame, reach: int) -> DataFrame:
     return classes.select("class_id", "phase", "frames").mapInArrow(pick, "class_id long, phase int, key long, at long")
 
 
+def flat(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All frames of a column of packed frames, with the first place and the number of each row's."""
+    edges = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) // 4
+    data = packed.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint32, count=int(edges[-1])) if data is not None else np.zeros(0, np.uint32), edges[:-1], np.diff(edges)
+
+
 def aligned(clips: DataFrame, is_query: Column, reach: int = 2, phases: int = 16, min_votes: int = 1, max_bits: float = 0.3, min_overlap: float = 0.5) -> DataFrame:
     """One row per clip: clip_id, n_frames, class_id, is_query, and for a query its matches among all other classes.
 
-    n_matches counts the classes that align (at least ``min_votes`` anchors at one offset, ``min_overlap`` of the shorter recording,
+    n_matches counts the classes that align at any offset (at least ``min_votes`` anchors at one offset, ``min_overlap`` of the shorter recording,
     at most ``max_bits`` of the bits different); best_* describe the one with the fewest different bits.
     """
     found = stored(fingerprints(clips), "media-prints")
@@ -167,26 +175,38 @@ def aligned(clips: DataFrame, is_query: Column, reach: int = 2, phases: int = 16
     turned = stored(phased(sounds, phases), "media-queries")
     q = anchors(turned, reach).select(F.col("class_id").alias("query"), "phase", "key", F.col("at").alias("q_at"))
     votes = q.join(index, "key").filter("query <> class_id").groupBy("query", "phase", "class_id", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("votes"))
-    top = F.max(F.struct("votes", (-F.abs("shift")).alias("near"), (-F.col("phase")).alias("early"), "shift"))
-    best = votes.filter(F.col("votes") >= min_votes).groupBy("query", "class_id").agg(top.alias("b"))
-    best = cut_lineage(best.select("query", "class_id", "b.shift", (-F.col("b.early")).alias("phase")))
+    offers = votes.filter(F.col("votes") >= min_votes).groupBy("query", "phase", "class_id").agg(F.collect_set("shift").alias("shifts"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wrong, over = [], []
-            for shift, left, right in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                a, b = np.frombuffer(left.as_buffer(), dtype=np.uint32), np.frombuffer(right.as_buffer(), dtype=np.uint32)
-                a, b = a[max(0, -shift) :], b[max(0, shift) :]
-                n = min(len(a), len(b))
-                wrong.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n else 1.0)
-                over.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(wrong, pa.float64()), pa.array(over, pa.int64())], names=["query", "class_id", "shift", "phase", "errors", "overlap"])
+            shifts = batch.column(3).flatten().to_numpy()
+            (a, a_first, a_size), (b, b_first, b_size) = flat(batch.column(4)), flat(batch.column(5))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
+            late, early = np.maximum(0, -shifts), np.maximum(0, shifts)
+            n = np.maximum(0, np.minimum(a_size[row] - late, b_size[row] - early))
+            wrong, ends = np.ones(len(n)), np.cumsum(n)
+            begin = 0
+            while begin < len(n):  # bounded memory, however many offsets
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + ROOM, side="right")))
+                own = begin + np.flatnonzero(n[begin:end])
+                if len(own):
+                    heads = np.cumsum(n[own]) - n[own]
+                    step = np.arange(n[own].sum())
+                    different = np.bitwise_count(a[step + np.repeat(a_first[row[own]] + late[own] - heads, n[own])] ^ b[step + np.repeat(b_first[row[own]] + early[own] - heads, n[own])])
+                    wrong[own] = np.add.reduceat(different, heads, dtype=np.int64) / (32 * n[own])
+                begin = end
+            fit = np.flatnonzero(wrong <= max_bits)
+            who = pa.array(row[fit])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(who), batch.column(2).take(who), pa.array(shifts[fit]), batch.column(1).take(who), pa.array(wrong[fit], pa.float64()), pa.array(n[fit], pa.int64()),
+            ], names=["query", "class_id", "shift", "phase", "errors", "overlap"])
 
     left = turned.select(F.col("class_id").alias("query"), "phase", F.col("frames").alias("q_frames"))
-    pairs = best.join(left, ["query", "phase"]).join(held.select("class_id", "frames"), "class_id")
-    checked = pairs.select("query", "class_id", "shift", "phase", "q_frames", "frames").mapInArrow(compare, "query long, class_id long, shift long, phase int, errors double, overlap long")
+    pairs = offers.join(left, ["query", "phase"]).join(held.select("class_id", "frames"), "class_id")
+    checked = pairs.select("query", "phase", "class_id", "shifts", "q_frames", "frames").mapInArrow(compare, "query long, class_id long, shift long, phase int, errors double, overlap long")
     sizes = held.select("class_id", "n_frames")
-    good = checked.join(sizes.withColumnsRenamed({"class_id": "query", "n_frames": "q_n"}), "query").join(sizes, "class_id").filter((F.col("errors") <= max_bits) & (F.col("overlap") >= min_overlap * F.least("q_n", "n_frames")))
+    fits = checked.join(sizes.withColumnsRenamed({"class_id": "query", "n_frames": "q_n"}), "query").join(sizes, "class_id").filter(F.col("overlap") >= min_overlap * F.least("q_n", "n_frames"))
+    good = fits.groupBy("query", "class_id").agg(F.min(F.struct("errors", "shift", "phase")).alias("b")).select("query", "class_id", "b.*")
     per = good.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("errors", "class_id", "shift", "phase")).alias("b")).select(F.col("query").alias("class_id"), "n_matches", F.col("b.class_id").alias("best_class"), (F.col("b.shift") * HOP - F.col("b.phase")).alias("best_offset"), F.col("b.errors").alias("best_errors"))
     rows = found.join(named.select(*key, "class_id"), key, "left").withColumn("class_id", F.coalesce("class_id", "clip_id")).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     out = rows.join(per, "class_id", "left")

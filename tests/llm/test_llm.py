@@ -451,6 +451,17 @@ def test_chroma_search_finds_edited_texts_at_any_phase(spark):
     assert np.mean([got[q]["best_class"] in (q + 1, q + 2, q + 3) for q in texts if q % 50 == 0]) >= 0.9
 
 
+def test_chroma_search_checks_every_offset_with_a_vote(spark):
+    """The offset with most votes has too short an overlap; another one with fewer votes aligns half of the recordings."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    most, some, here, there = (rng.integers(0, 256, n * media.HOP).astype(np.uint8) for n in (56, 44, 30, 30))
+    clips = frame(spark, [(0, np.concatenate((some, here, most)).tobytes()), (1, np.concatenate((most, some, there)).tobytes())], "clip_id long, sound binary")
+    got = {r["clip_id"]: r for r in media.aligned(clips, F.col("clip_id") == 0).collect()}[0]
+    assert (got["n_matches"], got["best_class"], got["best_offset"]) == (1, 1, 56 * media.HOP)
+
+
 def test_chroma_prints_align_shifted_copies(spark):
     import numpy as np
 
