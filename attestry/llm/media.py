@@ -9,7 +9,7 @@ A copy rarely starts on a multiple of the hop, so a query is fingerprinted at se
 in a join; a histogram of offsets per pair of classes and phase offers alignments, and the share of different bits along the overlap is taken
 at each of them before the best of a pair is kept.
 
-Defined cases: null or short sound (less than one filter's width) has no frames, its own class and no match; rows that share an id and
+Defined cases: short sound (less than one filter's width) has no frames and no match, its class is that of equal sounds; null sound has its own class; rows that share an id and
 the sound get the same answer; silence has the code of an even spectrum.
 """
 
@@ -102,8 +102,12 @@ def fingerprints(clips: DataFrame) -> DataFrame:
                 spread = [mix(p.astype(np.uint64) + np.arange(1, len(p) + 1, dtype=np.uint64) * STEPS[0]) for p in prints]
                 a = np.array([x.sum(dtype=np.uint64) for x in spread], dtype=np.uint64).view(np.int64)
                 b = np.array([np.bitwise_xor.reduce(mix(x + STEPS[1])) if len(x) else np.uint64(0) for x in spread], dtype=np.uint64).view(np.int64)
+                bare = np.array([len(p) == 0 for p in prints], dtype=bool)  # classes by the sound itself
+                a = np.where(bare, own.column(2).to_numpy(zero_copy_only=False), a)
+                b = np.where(bare, np.array([len(s.as_buffer()) if s.is_valid else 0 for s in own.column(1)], dtype=np.int64), b)
+                null = np.array([not s.is_valid for s in own.column(1)], dtype=bool)
                 yield pa.RecordBatch.from_arrays([
-                    own.column(0), own.column(2), pa.array([len(p) for p in prints], pa.int64()), pa.array(a), pa.array(b), pa.array([p.tobytes() for p in prints], pa.binary()),
+                    own.column(0), own.column(2), pa.array([len(p) for p in prints], pa.int64()), pa.array(a, mask=null), pa.array(b, mask=null), pa.array([p.tobytes() for p in prints], pa.binary()),
                 ], names=[c.split()[0] for c in PRINTS.split(", ")])
 
     rows = clips.select(F.col("clip_id").cast("long"), F.col("sound").cast("binary"), F.xxhash64("sound").alias("clip_hash"))
@@ -163,7 +167,7 @@ def aligned(clips: DataFrame, is_query: Column, reach: int = 2, phases: int = 16
     found = stored(fingerprints(clips), "media-prints")
     full = found.filter("n_frames > 0 and clip_id is not null")
     key = ["class_a", "class_b", "n_frames"]
-    named = full.groupBy(*key).agg(F.min("clip_id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
+    named = found.filter("class_a is not null and clip_id is not null").groupBy(*key).agg(F.min("clip_id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
     held = full.join(named.withColumnRenamed("class_id", "clip_id"), [*key, "clip_id"]).select(F.col("clip_id").alias("class_id"), "n_frames", "frames", "asked").dropDuplicates(["class_id", "n_frames"])
     held = stored(held, "media-classes")
     index = anchors(held.withColumn("phase", F.lit(0)), reach).drop("phase")

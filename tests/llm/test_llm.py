@@ -462,6 +462,12 @@ def test_chroma_search_checks_every_offset_with_a_vote(spark):
     assert (got["n_matches"], got["best_class"], got["best_offset"]) == (1, 1, 56 * media.HOP)
 
 
+def test_equal_clips_without_frames_share_a_class(spark):
+    rows = [(0, b"a short clip"), (5, b"a short clip"), (7, b"another one"), (8, b""), (9, b""), (10, None), (11, None), (None, b"a short clip"), (12, b"x" * 351), (13, b"x" * 351), (14, b"x" * 350)]
+    got = {r["clip_id"]: (r["class_id"], r["n_frames"]) for r in media.aligned(frame(spark, rows, "clip_id long, sound binary"), F.col("clip_id") == 0).collect()}
+    assert got == {0: (0, 0), 5: (0, 0), 7: (7, 0), 8: (8, 0), 9: (8, 0), 10: (10, 0), 11: (11, 0), None: (0, 0), 12: (12, 0), 13: (12, 0), 14: (14, 0)}
+
+
 def test_chroma_prints_align_shifted_copies(spark):
     import numpy as np
 
