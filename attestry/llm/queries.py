@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontam, langid, licences, lm, media, minhash, mix, secret_scan, shard, urls
+from attestry.llm import decontam, langid, licences, lm, media, minhash, mix, negatives, resample, secret_scan, shard, sitetree, urls
 from attestry.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,53 @@ def op9(spark, sf):
 def op10(spark, sf):
     out = shard.sharded(table(spark, sf, "documents"), SHARDS, SEED)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+_NEGATIVES = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as q
+  from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.q, c.q)::bigint as score
+  from v a, v c where a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+qualify rank <= 5"""
+
+
+@query("op11_hard_negatives", _NEGATIVES)
+def op11(spark, sf):
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), "vec_id", shifted, "embedding", F.col("vec_id") % 100 == 0)
+
+
+# crc32 of a word's UTF-8 bytes by the usual table, built here from its polynomial
+_WORDS = "unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w"
+_RESAMPLED = f"""
+with poly as (select list(list_reduce([n] || range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by n) as tab from range(256) r(n)),
+words as (select 'd' as side, doc_id, rowid_ as r, {_WORDS}
+  from (select *, row_number() over () as rowid_ from documents)
+  union all
+  select 't', null, null, {_WORDS} from benchmark),
+hashed as (select w, xor(4294967295, list_reduce([4294967295] || [('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::bigint for i in range(octet_length(encode(w)))],
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 10000 as bucket from (select distinct w from words), poly),
+n as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 't') as t from words join hashed using (w) group by bucket),
+g as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from n),
+scored as (select r, count(*) as n_features, sum(gain)::bigint as weight from words join hashed using (w) join g using (bucket) where side = 'd' group by r),
+all_docs as (select doc_id, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint::double + 0.5) / 4294967296.0)))::bigint as score
+  from (select *, row_number() over () as r from documents) left join scored using (r)),
+ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as p, count(*) filter (n_features >= 20) over () as n from all_docs)
+select doc_id, n_features, weight, score, case when n_features >= 20 and p <= n * 10 // 100 then p end::bigint as rank from ranked"""
+
+
+@query("op12_importance_resampling", _RESAMPLED)
+def op12(spark, sf):
+    return resample.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_site_style_tree")
+def op13(spark, sf):
+    return sitetree.extracted(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
