@@ -173,7 +173,9 @@ def entity_facets(experiments: DataFrame, top: int = 8) -> DataFrame:
     # Experiments are put in order before each becomes some fifty rows: a position is one number,
     # so counts and firsts stay in a hash table that is filled before the shuffle.
     needed = experiments.select("slug", "ord", "task", "family", "method", "variable", "datasets", "metrics")
-    placed = needed.orderBy("slug", "ord").withColumn("_pos", F.monotonically_increasing_id())
+    # Rows of one (slug, ord) share a position, so that their values tie; the sort has them together already.
+    placed = needed.orderBy("slug", "ord").withColumn("_row", F.monotonically_increasing_id())
+    placed = placed.withColumn("_pos", F.min("_row").over(Window.partitionBy("slug", "ord"))).drop("_row")
     rows = entity_experiments(placed).select("kind", "name", "_pos", F.explode(facets).alias("f")).filter("f.value is not null")
     counted = rows.groupBy("kind", "name", "f.facet", "f.value").agg(F.count("*").alias("n"), F.min("_pos").alias("_first"))
     order = [F.desc("n"), F.col("_first"), F.col("value")]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from attestry.operators import walk
+from attestry.operators import gate, walk
 from attestry.plans import sqltext as S
 from attestry.plans.registry import query, spread_table, table
 from attestry.sources import records as R
@@ -141,3 +141,49 @@ def prediction_scan(spark, sf):
     doc = """concat('{"predictions": [{"paper_id": "g', doc_id, '", "fields": [{"path": "data.quality", "status": "NOT_VERIFIED", "value": ', quality, '.0}]}, {"paper_id": "h', doc_id, '", "fields": [{"path": "x.y", "status": "NOT_REPORTED"}]}]}')"""
     p = R.require_distinct(R.explode_predictions(table(spark, sf, "labels").select(F.parse_json(F.expr(doc)).alias("v"))).withColumn("key", F.concat_ws("/", "paper_id", "path")), "key")
     return p.select("paper_id", "path", "status", F.coalesce("value_json", F.lit("")).alias("value_json"))
+
+
+# --- records through the gate -----------------------------------------------------------
+
+_PAGE = """case page when 1 then 'A review of data D' || array_to_string(range(20, 40), ', data D') when 2 then 'It uses 1-URGENT; uses 3-MEDIUM, uses 5-LOW.'
+ when 3 then 'The data D' || array_to_string(range(0, 20), ', data D') when 4 then 'Each batch: lr ' || array_to_string(range(0, 7), ', lr ')
+ when 6 then 'RMSE ' || c_custkey when 7 then 'MAE ' || array_to_string(range(0, 50), '; MAE ') when 9 then 'one or two' when 10 then c_name else '' end"""
+
+
+def record_pages(spark, sf):
+    """Twelve pages for every customer's file. They hold some of the quotes on the cited page, some on another."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("page"))
+    items = lambda sep, a, b: F.array_join(F.sequence(F.lit(a), F.lit(b - 1)).cast("array<string>"), sep)
+    text = (
+        F.when(F.col("page") == 1, F.concat(F.lit("A review of data D"), items(", data D", 20, 40))).when(F.col("page") == 2, "It uses 1-URGENT; uses 3-MEDIUM, uses 5-LOW.")
+        .when(F.col("page") == 3, F.concat(F.lit("The data D"), items(", data D", 0, 20))).when(F.col("page") == 4, F.concat(F.lit("Each batch: lr "), items(", lr ", 0, 7)))
+        .when(F.col("page") == 6, F.concat(F.lit("RMSE "), F.col("c_custkey").cast("string"))).when(F.col("page") == 7, F.concat(F.lit("MAE "), items("; MAE ", 0, 50)))
+        .when(F.col("page") == 9, "one or two").when(F.col("page") == 10, F.col("c_name")).otherwise("")
+    )
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_file"), "page", text.alias("text"))
+
+
+_RECORD_GATE = f"""{_CLAIMS},
+q as (select slug, path, page_pdf, {S.norm('quote')} as needle, field = 'batch_size' and kind = 'TRAINING' as unsupported,
+    case when path = 'results[0]' then o_orderkey % 3 when path = 'datasets[0].evidence[0]' then 0 end as printed, o_custkey from c join o using (slug) where quote is not null
+  union all select slug, 'source.edition_evidence', 1, 'arxiv ' || o_orderkey, false, null, o_custkey from o),
+p as (select c_custkey as o_custkey, page, {S.norm(_PAGE)} as t from customer, (select unnest(range(1, 13)) as page)),
+l as (select q.*, coalesce(contains(p.t, needle), false) as located from q left join p on p.o_custkey = q.o_custkey and p.page = page_pdf),
+f as (select slug, path, count(*) as found_on, min(p.page) as first_found from l join p on p.o_custkey = l.o_custkey and contains(p.t, needle) where not located group by 1, 2),
+r as (select l.*, coalesce(found_on, 0) as found_on, coalesce(first_found, -1) as first_found, located and unsupported as support_warning, located and coalesce(printed <> page_pdf, false) as pagination_warning
+  from l left join f using (slug, path))
+"""
+
+
+@query("record_gate", f"""with {_RECORD_GATE}
+select o.slug, count(r.path) as checked, count_if(located) as located, count_if(support_warning) as support_warnings, count_if(pagination_warning) as pagination_warnings,
+  coalesce(bool_and(located), true)::int as ok from o left join r using (slug) group by o.slug""")
+def record_gate(spark, sf):
+    _, summary = gate.record_gate(records(spark, sf), record_pages(spark, sf))
+    return summary.withColumn("ok", F.col("ok").cast("int"))
+
+
+@query("record_gate_failures", f"with {_RECORD_GATE} select slug, path, page_pdf, found_on, first_found from r where not located")
+def record_gate_failures(spark, sf):
+    report, _ = gate.record_gate(records(spark, sf), record_pages(spark, sf))
+    return report.filter("not located").select("slug", "path", "page_pdf", "found_on", F.coalesce("first_found", F.lit(-1)).alias("first_found"))
