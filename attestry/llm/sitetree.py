@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -67,10 +68,11 @@ WORDS = re.compile(r"[a-z]+")
 HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def landmark(tag: str, attributes: dict[str, str | None], inside: bool) -> int:
-    """What HTML says of an element: around the article, the article itself, or neither."""
-    role = (attributes.get("role") or "").lower()
-    named = set(WORDS.findall(HUMPS.sub(" ", f"{attributes.get('class') or ''} {attributes.get('id') or ''}").lower()))
+@lru_cache(maxsize=4096)
+def landmark(tag: str, role: str | None, words: str | None, inside: bool) -> int:
+    """What HTML says of an element with this role and these class and id words: around the article, the article itself, or neither."""
+    role = (role or "").lower()
+    named = set(WORDS.findall(HUMPS.sub(" ", words).lower())) if words else set()
     if tag in ("article", "main") or role in ("article", "main"):
         return AROUND if tag == "article" and named & ARTICLE_WORDS else ARTICLE
     if tag in ASIDE_TAGS or role in ASIDE_ROLES or not inside and (tag == "header" or named & OUTSIDE_ONLY):
@@ -78,6 +80,12 @@ def landmark(tag: str, attributes: dict[str, str | None], inside: bool) -> int:
     return AROUND if tag not in PLAIN and named & ASIDE_WORDS else NEITHER
 
 
+@lru_cache(maxsize=4096)
+def shown(tag: str, classes: str | None) -> str:
+    """An element's name in the tree: its tag and class words."""
+    return ".".join([tag, *sorted(set(classes.lower().split()))]) if classes else tag
+
+
 class Page(HTMLParser):
     """The text blocks of a page, each with its chain of nodes; per node its landmark and child sequence."""
 
@@ -100,7 +108,10 @@ class Page(HTMLParser):
         return self.names[node][1].partition("#")[0].partition(".")[0] in ("html", "body")
 
     def _node(self) -> int:
-        return next((node for _, node, _ in reversed(self.open) if node >= 0), -1)
+        for _, node, _ in reversed(self.open):
+            if node >= 0:
+                return node
+        return -1
 
     def _flush(self) -> None:
         if self.buffer:
@@ -110,9 +121,11 @@ class Page(HTMLParser):
                 self.blocks.append((self._node(), text))
 
     def _pop(self, at: int) -> None:
-        if any(node >= 0 for _, node, _ in self.open[at:]):
-            self._flush()
-        self.quiet -= sum(tag in SILENT for tag, _, _ in self.open[at:])
+        for tag, node, _ in self.open[at:]:
+            if node >= 0:
+                self._flush()
+            if tag in SILENT:
+                self.quiet -= 1
         del self.open[at:]
 
     def _close_implied(self, tag: str) -> None:
@@ -138,26 +151,26 @@ class Page(HTMLParser):
         if len(self.open) >= DEPTH and tag not in SILENT:
             self.deeper[tag] += 1
             return
-        attributes = dict(attrs)
-        inside = any(mark == ARTICLE for _, _, mark in self.open[-1:])
-        mark = landmark(tag, attributes, inside)
+        attributes = dict(attrs) if attrs else {}
+        above = self.open[-1][2] if self.open else NEITHER
+        classes, name = attributes.get("class"), attributes.get("id")
+        mark = landmark(tag, attributes.get("role"), f"{classes or ''} {name or ''}" if classes or name else None, above == ARTICLE)
         node = -1
         if tag in BLOCK or mark != NEITHER:
             if tag not in BLOCK:
                 self._flush()
-            node = self._enter(tag, attributes, mark)
-        above = self.open[-1][2] if self.open else NEITHER
+            node = self._enter(shown(tag, classes), mark)
         self.open.append((tag, node, above if mark == NEITHER else mark))
         self.quiet += tag in SILENT
 
-    def _enter(self, tag: str, attributes: dict, mark: int) -> int:
-        name = ".".join([tag, *sorted(set((attributes.get("class") or "").lower().split()))])
+    def _enter(self, name: str, mark: int) -> int:
         parent = self._node()
         if parent >= 0 and self.children[parent][-1:] != [name]:  # a run of like children is one
             self.children[parent].append(name)
-        node = self.known.setdefault((parent, name + f"#{mark}"), len(self.names))
+        named = f"{name}#{mark}"
+        node = self.known.setdefault((parent, named), len(self.names))
         if node == len(self.names):
-            self.names.append((parent, f"{name}#{mark}"))
+            self.names.append((parent, named))
             self.marks.append(mark)
             self.children.append([])
         return node
@@ -178,6 +191,9 @@ class Page(HTMLParser):
                 return None  # an inline end tag ends nothing outside its block
         return None
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i, report)  # ``<![``: in HTML a comment up to the next ``>``
 
@@ -232,15 +248,12 @@ class Branches:
 
     def text(self, removed: set[int]) -> str:
         """The page's blocks outside removed branches."""
-        kept, spare = [], []
-        for node, text in self.page.blocks:
-            chain = list(self.chain(node))
-            article = next((k for k, n in enumerate(chain) if self.page.marks[n] == ARTICLE), len(chain))
-            if not any(self.ids[n] in removed and not self.page.is_root(n) for n in chain[: article + 1]):
-                kept.append(text)
-            if not chain or self.marks[chain[0]] == NEITHER:
-                spare.append(text)
-        return " ".join(kept or spare)
+        stays: list[bool] = []  # a node's parent comes before it
+        for n, (parent, _) in enumerate(self.page.names):
+            above = self.page.marks[n] == ARTICLE or parent < 0 or stays[parent]
+            stays.append(above and (self.ids[n] not in removed or self.page.is_root(n)))
+        kept = [text for node, text in self.page.blocks if node < 0 or stays[node]]
+        return " ".join(kept or [text for node, text in self.page.blocks if node < 0 or self.marks[node] == NEITHER])
 
 
 def _parsed(html: str | None) -> Branches:
