@@ -17,6 +17,7 @@ from attestry.functions import vocabulary as V
 from attestry.functions.rules import dataset_group
 from attestry.functions.text import any_key_or_value_contains
 from attestry.operators.keyed import exact_median, first_n
+from attestry.session import cut_lineage
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -82,21 +83,44 @@ def numeric_summary(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     return seen.join(stats.drop("n"), keys, "left").join(few, keys, "left")
 
 
-def coverage(experiments: DataFrame, rows: str = "task", cols: str = "family", paper: str = "slug") -> DataFrame:
-    """Distinct papers per (task, family), empty cells included.
+AXIS_BLOCK = 4096  # values of an axis in one row, about
+
+
+def unset_cells(filled: DataFrame, keys: DataFrame, axis: DataFrame, rows: str, cols: str) -> DataFrame:
+    """(rows, cols) of the grid ``keys`` x ``axis`` (distinct each) that ``filled(rows, cols)`` lacks, each pair once.
 
-    The axes are vocabularies, so one of them fits in a row; the full grid is the result
-    itself and nothing else is multiplied.
+    The column axis is coded: blocks of a bounded number of names, by hash, each name with its place. A row keeps one bit for each
+    name it has, 64 to a number; the empty cells are the places without a bit. So no axis is gathered whole, and the grid is
+    made from its gaps, not by joining all pairs to what is there.
     """
-    pairs = experiments.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-    filled = pairs.groupBy(rows, cols).agg(F.countDistinct(paper).alias("papers"))
-    axis = filled.agg(F.collect_set(cols).alias("_axis"))
-    grid = filled.select(rows).distinct().crossJoin(F.broadcast(axis)).select(rows, F.explode("_axis").alias(cols))  # axis: one row
-    return grid.join(filled, [rows, cols], "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
+    blocks = max(1, -(-axis.count() // AXIS_BLOCK))
+    coded = axis.groupBy(F.pmod(F.xxhash64(cols), F.lit(blocks)).alias("_b")).agg(F.array_sort(F.collect_list(cols)).alias("_names"))
+    coded = cut_lineage(coded)  # the axis once, in blocks
+    places = coded.select("_b", F.posexplode("_names").alias("_at", cols))
+    words = filled.join(places, cols).groupBy(rows, "_b", F.shiftright("_at", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, _at & 63)")).alias("_bits"))
+    held = words.groupBy(rows, "_b").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_held"))  # AXIS_BLOCK / 64 numbers, about
+    grid = keys.select(rows, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    bits = lambda i: F.coalesce(F.try_element_at("_held", F.shiftright(i, 6)), F.lit(0).cast("long"))
+    gaps = F.filter("_names", lambda name, i: F.getbit(bits(i), i.bitwiseAND(63)) == 0)
+    return grid.join(coded, "_b").join(held, [rows, "_b"], "left").select(rows, F.explode(gaps).alias(cols))
+
+
+def _empty(filled: DataFrame, rows: str, cols: str) -> DataFrame:
+    return unset_cells(filled, filled.select(rows).distinct(), filled.select(cols).distinct(), rows, cols)
+
+
+def _cells(experiments: DataFrame, rows: str, cols: str, paper: str) -> DataFrame:
+    return experiments.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull()).groupBy(rows, cols).agg(F.countDistinct(paper).alias("papers"))
+
+
+def coverage(experiments: DataFrame, rows: str = "task", cols: str = "family", paper: str = "slug") -> DataFrame:
+    """Distinct papers per (task, family), empty cells included. Both axes may be of any size."""
+    filled = cut_lineage(_cells(experiments, rows, cols, paper))  # one row a cell
+    return filled.unionByName(_empty(filled.select(rows, cols), rows, cols).withColumn("papers", F.lit(0).cast("long")))
 
 
 def empty_cells(experiments: DataFrame, rows: str = "task", cols: str = "family", paper: str = "slug") -> DataFrame:
-    return coverage(experiments, rows, cols, paper).filter("papers = 0").select(rows, cols)
+    return _empty(cut_lineage(_cells(experiments, rows, cols, paper).select(rows, cols)), rows, cols)
 
 
 def comparison_cells(results: DataFrame, cell: Sequence[str], paper: str = "slug") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import vocabulary as V
 from attestry.functions.text import blank_to_null
+from attestry.operators.analytics import unset_cells
 from attestry.operators.keyed import newest, repeated
 from attestry.operators.ledger import verification_state
 from attestry.operators.staging import not_pending
@@ -220,6 +221,30 @@ def paper_fields(contract: DataFrame, slots: DataFrame, claims: DataFrame) -> Da
     return slotted.unionByName(loose).join(contract.select("field_path", "position"), "field_path", "left")
 
 
+def contract_view(contract: DataFrame, papers: DataFrame, slots: DataFrame, claims: DataFrame, markers: DataFrame, latest: DataFrame) -> DataFrame:
+    """Every contract field of every paper with what it holds, and what a paper holds outside the contract.
+
+    One row per (paper, field, item): (paper_id, field_path, position, status, kind, item_id, place, verification_state). ``kind`` is
+    claim, marker, or empty for a contract field with neither, which are filled in from the gaps of each paper's fields. Claims stand
+    where a record slot names them, else at their own path; one in a slot outside the contract is not shown. ``position`` is null
+    outside the contract.
+    """
+    audits = latest.select("target_kind", F.col("target_id").alias("item_id"), "decision", "current")
+    state = verification_state(F.col("decision"), F.col("current")).alias("verification_state")
+    own = claims.select("paper_id", "claim_id", "scientific_status")
+    placed = paper_fields(contract, slots, claims).filter("place = 'path' or position is not null").join(own, ["paper_id", "claim_id"])
+    status = field_statuses(placed, markers, contract).select("paper_id", "field_path", "status")
+    items = placed.select("paper_id", "field_path", F.lit("claim").alias("kind"), F.col("claim_id").cast("string").alias("item_id"), "place").unionByName(
+        markers.select("paper_id", "field_path", F.lit("marker").alias("kind"), F.col("marker_id").cast("string").alias("item_id"), F.lit("path").alias("place")))
+    judged = items.withColumn("target_kind", F.upper("kind")).join(audits, ["target_kind", "item_id"], "left")
+    shown = judged.join(status, ["paper_id", "field_path"]).select("paper_id", "field_path", "status", "kind", "item_id", "place", state)
+    filled = items.select("paper_id", "field_path").distinct()
+    none = F.lit(None).cast("string")
+    empty = unset_cells(filled, papers.select("paper_id").distinct(), contract.select("field_path").distinct(), "paper_id", "field_path").select(
+        "paper_id", "field_path", F.lit("NOT_EXTRACTED").alias("status"), F.lit("empty").alias("kind"), none.alias("item_id"), none.alias("place"), none.alias("verification_state"))
+    return shown.unionByName(empty).join(contract.select("field_path", "position"), "field_path", "left")
+
+
 def claim_view(claims: DataFrame, latest: DataFrame) -> DataFrame:
     """Claims as served: parsed value beside the raw one, and the state of their audit."""
     from attestry.functions.text import claim_value

@@ -1,11 +1,15 @@
 """Queries over staging packages. Customers are papers, orders are claim rows; faults follow from key arithmetic."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestry.functions import vocabulary as V
 from attestry.operators import staging as G
 from attestry.operators import validate as C
 from attestry.plans.registry import query, table
+from attestry.session import shared_dir
+from attestry.sources import corpus as P
 
 # The same expressions make the stand-in tables in both engines.
 INDEX = (
@@ -394,3 +398,46 @@ def latest_coverage(spark, sf):
     runs = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("imported_at"))
     cov = o.select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("import_run_id"), F.col("o_orderkey").alias("claim_count"))
     return G.latest_coverage(cov, runs).select("paper_id", "claim_count")
+
+
+# --- a package imported, changed, and sent again ----------------------------------------
+
+def package(spark, sf, later):
+    """Customers are papers and orders their claims. The later package lacks some rows, changes some, and brings new ones."""
+    c = table(spark, sf, "customer").filter("c_custkey % 17 <> 0" if later else "true")
+    domain = "case when c_custkey % 7 = 0 then 'NEW' else c_mktsegment end" if later else "c_mktsegment"
+    index = c.selectExpr("'OAI-' || c_custkey as paper_id", "'Work ' || c_custkey as title", "1990 + c_nationkey as year", "case when c_custkey % 4 <> 0 then '10.1234/c' || c_custkey end as doi",
+                         f"{domain} as domain", "cast(null as string) as scientific_audit_status")
+    o = table(spark, sf, "orders").filter("o_orderkey % 13 <> 0 and o_custkey % 17 <> 0" if later else "true")
+    kind = "case when o_orderkey % 11 = 0 then 'NOTE' else 'AUTHOR_REPORTED_FACT' end" if later else "'AUTHOR_REPORTED_FACT'"
+    mark = "case when o_orderkey % 5 = 0 then 'NOT_REPORTED' end"
+    row = ("'OAI-' || o_custkey as paper_id", "'data.p' || substring(o_orderpriority, 1, 1) as field_path", "'NOT_VERIFIED' as scientific_status", "cast(null as string) as independent_audit")
+    claims = o.selectExpr("'C' || o_orderkey as claim_id", *row, f"coalesce({mark}, 'v' || o_custkey) as value", f"{mark} as extraction_status", f"{kind} as claim_type")
+    if later:
+        new = table(spark, sf, "orders").filter("o_orderkey % 23 = 0 and o_custkey % 17 <> 0")
+        claims = claims.unionByName(new.selectExpr("'N' || o_orderkey as claim_id", *row, "'new' as value", "cast(null as string) as extraction_status", "'NOTE' as claim_type"))
+    gaps = table(spark, sf, "nation").selectExpr("n_name as candidate_topic", "n_name as testable_question")
+    return P.Package(index, index.select("paper_id", F.to_json(F.struct("paper_id")).alias("record_json")), claims, gaps, "later" if later else "first", "sha-later" if later else "sha-first")
+
+
+_DROPPED, _KEPT_BY_AUDIT = "(o_orderkey % 13 = 0 or o_custkey % 17 = 0)", "(o_orderkey % 14 = 0 and o_orderkey % 5 <> 0)"
+
+
+@query("import_chain", f"""with e as (select *, case when o_orderkey % 5 = 0 then 'markers' else 'claims' end as entity from orders),
+r as (select 'first' as step, 'papers' as entity, 'created' as action from customer union all select 'first', entity, 'created' from e union all select 'first', 'gaps', 'created' from nation
+ union all select 'second', 'papers', case when c_custkey % 17 = 0 then 'absent' when c_custkey % 7 = 0 then 'updated' else 'unchanged' end from customer
+ union all select 'second', entity, case when {_DROPPED} then 'absent' when o_orderkey % 11 <> 0 then 'unchanged' when {_KEPT_BY_AUDIT} then 'skipped_protected' else 'updated' end from e
+ union all select 'second', 'claims', 'created' from orders where o_orderkey % 23 = 0 and o_custkey % 17 <> 0 union all select 'second', 'gaps', 'unchanged' from nation
+ union all select 'older', 'papers', case when c_custkey % 17 <> 0 and c_custkey % 7 = 0 then 'stale' else 'unchanged' end from customer
+ union all select 'older', entity, case when not {_DROPPED} and o_orderkey % 11 = 0 and not {_KEPT_BY_AUDIT} then 'stale' else 'unchanged' end from e
+ union all select 'older', 'claims', 'absent' from orders where o_orderkey % 23 = 0 and o_custkey % 17 <> 0 union all select 'older', 'gaps', 'unchanged' from nation)
+select step, case step when 'older' then 'stale' else 'imported' end as status, entity, action, count(*) as n from r group by all""")
+def import_chain(spark, sf):
+    """A first import, an audit of some claims, a newer package, and the first one again: refused as older."""
+    corpus = P.open_corpus(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", 16)
+    first = P.import_package(corpus, package(spark, sf, False), "run-1", "2025-01-01")
+    audited = first.corpus.table("claims").filter("cast(substring(claim_id, 2) as bigint) % 14 = 0").select("claim_id", F.lit("VERIFIED").alias("scientific_status"), "independent_audit")
+    second = P.import_package(P.attest(first.corpus, audited, "audit-1", "2025-01-02"), package(spark, sf, True), "run-2", "2025-01-03")
+    older = P.import_package(second.corpus, package(spark, sf, False), "run-3", "2025-01-04")
+    steps = [o.counts.select(F.lit(step).alias("step"), F.lit(o.status).alias("status"), "entity", "action", "n") for step, o in (("first", first), ("second", second), ("older", older))]
+    return G.all_violations(steps)

@@ -168,6 +168,32 @@ def paper_field_view(spark, sf):
     return out.select("paper_id", "claim_id", "field_path", "place", F.coalesce("position", F.lit(-1)).alias("position"))
 
 
+_VIEW = """c as (select o_custkey as paper_id, o_orderkey as id, 'p' || o_orderkey % 40 as own, case when o_orderkey % 3 = 0 then 'p' || o_orderkey % 35 end as slot, case when o_orderstatus = 'O' then 'CONFLICT' else 'NOT_VERIFIED' end as s from orders),
+p as (select paper_id, coalesce(slot, own) as field_path, s as status, 'claim' as kind, id, case when slot is null then 'path' else 'slot' end as place from c where slot is null or substring(slot, 2)::int < 30),
+m as (select o_custkey as paper_id, 'p' || o_orderkey % 37 as field_path, o_orderkey as id, o_orderkey % 2 = 0 as absent, o_orderkey % 25 = 0 as disputed from orders where o_orderkey % 5 = 0),
+st as (select paper_id, field_path, status from p union select paper_id, field_path, 'CONFLICT' from m where disputed union select paper_id, field_path, 'NOT_REPORTED_CANDIDATE' from m where absent),
+fs as (select paper_id, field_path, string_agg(status, '|' order by status) as status from st group by 1, 2),
+i as (select paper_id, field_path, kind, id, place from p union all select paper_id, field_path, 'marker', id, 'path' from m),
+v as (select i.paper_id, i.field_path, coalesce(fs.status, 'NOT_EXTRACTED') as status, kind, id::varchar as item_id, place,
+  case when id % 7 <> 0 then 'NOT_VERIFIED' when id % 4 = 0 then 'VERIFIED' else 'STALE_AUDIT' end as verification_state from i left join fs using (paper_id, field_path)
+ union all select c_custkey, 'p' || n, 'NOT_EXTRACTED', 'empty', '', '', '' from customer, (select unnest(range(30)) as n) where not exists (select 1 from i where i.paper_id = c_custkey and i.field_path = 'p' || n))"""
+
+
+@query("paper_contract_view", f"""with {_VIEW} select paper_id, field_path, status, kind, item_id, place, verification_state,
+  case when substring(field_path, 2)::int < 30 then substring(field_path, 2)::int else -1 end as position from v""")
+def paper_contract_view(spark, sf):
+    o = table(spark, sf, "orders")
+    claims = o.selectExpr("o_custkey as paper_id", "o_orderkey as claim_id", "'p' || o_orderkey % 40 as field_path", "case when o_orderstatus = 'O' then 'CONFLICT' else 'NOT_VERIFIED' end as scientific_status")
+    slots = claims.filter("claim_id % 3 = 0").selectExpr("paper_id", "claim_id", "'p' || claim_id % 35 as field_path")
+    markers = o.filter("o_orderkey % 5 = 0").selectExpr("o_orderkey as marker_id", "o_custkey as paper_id", "'p' || o_orderkey % 37 as field_path",
+        "if(o_orderkey % 2 = 0, 'NOT_REPORTED', 'NOT_EXTRACTED') as extraction_status", "if(o_orderkey % 25 = 0, 'CONFLICT', 'NOT_VERIFIED') as scientific_status")
+    audits = o.filter("o_orderkey % 7 = 0").selectExpr("explode(array('CLAIM', 'MARKER')) as target_kind", "cast(o_orderkey as string) as target_id", "'VERIFIED' as decision", "o_orderkey % 4 = 0 as current")
+    fields = table(spark, sf, "nation").select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("position")).distinct().withColumn("field_path", F.concat(F.lit("p"), "position"))
+    view = T.contract_view(fields, table(spark, sf, "customer").selectExpr("c_custkey as paper_id"), slots, claims, markers, audits)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return view.select("paper_id", "field_path", "status", "kind", blank("item_id"), blank("place"), blank("verification_state"), F.coalesce("position", F.lit(-1)).alias("position"))
+
+
 @query("claim_view", f"""with {_L}, c as (select cast(o_orderkey as varchar) as claim_id, o_custkey, o_orderpriority from orders where o_orderkey % 5 <> 0)
 select claim_id, case when o_custkey % 2 = 0 then '["' || o_orderpriority || '"]' else to_json(o_orderpriority)::varchar end as value_json,
  case when decision is null then 'NOT_VERIFIED' when not current then 'STALE_AUDIT' else decision end as verification_state from c left join la on la.target_kind = 'CLAIM' and la.target_id = claim_id""")
