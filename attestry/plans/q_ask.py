@@ -71,14 +71,14 @@ def question_parse(spark, sf):
 _A = f"""{_P}, x as (select p.question_id, e.* from p join e on understood and (len(p.task) = 0 or list_contains(p.task, e.task)) and ((len(p.family) = 0 and len(p.method) = 0) or coalesce(list_contains(p.family, e.family), false) or coalesce(list_contains(p.method, e.method), false))
   and (len(p.dataset_group) = 0 or list_contains(p.dataset_group, e.ds)) and (len(p.variable) = 0 or coalesce(list_contains(p.variable, e.variable), false))),
 s as (select p.question_id, any_value(p.fields) as fields, any_value(lim) as lim, any_value(res) as res, count(x.ord) as n, count(distinct x.slug) as papers, count_if(r_lr) as learning_rate, count_if(r_loss) as loss, count_if(r_hw) as hardware, coalesce(sum(nres), 0) as results from p left join x using (question_id) where understood group by 1),
-li as (select source as slug, case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme from documents where doc_id % 7 = 0),
+li as (select source as slug, case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme from documents),
 lb as (select p.question_id, count(li.slug) as n from p left join li on (len(p.themes) = 0 or list_contains(p.themes, li.theme)) and (p.nf = 0 or li.slug in (select x.slug from x where x.question_id = p.question_id)) where understood and lim group by 1),
 b as (select question_id, 'matched' as block, 'experiments' as item, n, papers as "of" from s union all select question_id, 'training', f, case f when 'learning_rate' then learning_rate when 'loss' then loss when 'hardware' then hardware else 0 end, n from (select *, unnest(fields) as f from s)
  union all select question_id, 'results', 'measured', results, n from s where res union all select question_id, 'experiments', 'listed', n, papers from s where len(fields) = 0 and not res and not lim union all select question_id, 'limitations', 'items', n, 0 from lb)"""
 
 
 def limitations(spark, sf):
-    return table(spark, sf, "documents").filter("doc_id % 7 = 0").selectExpr("source as slug", "case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme")
+    return table(spark, sf, "documents").selectExpr("source as slug", "case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme")
 
 
 @query("question_answer", f'with {_A} select question_id, block, item, n::bigint as n, "of"::bigint as "of" from b')
@@ -109,13 +109,13 @@ def question_values(spark, sf):
 
 
 @query("question_results", f"""with {_X},
-r as (select source as slug, doc_id as ord, i as pos, case i when 0 then 'M' else 'N' end as metric, n_chars + i as value from documents, (select unnest([0, 1]) as i) where doc_id % 4 = 0),
+r as (select source as slug, doc_id as ord, i as pos, case i when 0 then 'M' else 'N' end as metric, n_chars + i as value from (select *, unnest(range(n_chars % 3 + 1)) as i from documents)),
 c as (select p.question_id, r.* from p join x using (question_id) join r on r.slug = x.slug and r.ord = x.ord where p.res
   union all select p.question_id, a.* from p join (select * from r order by slug, ord, pos limit 40) a on true where understood and p.res and nf = 0)
 select *, row_number() over (partition by question_id order by slug, ord, pos) as rank from c qualify rank <= 40""")
 def question_results(spark, sf):
-    """Every fourth document has two results."""
-    r = table(spark, sf, "documents").filter("doc_id % 4 = 0").selectExpr("source as slug", "doc_id as ord", "n_chars", "explode(array(0, 1)) as pos")
+    """Every document has one to three results."""
+    r = table(spark, sf, "documents").selectExpr("source as slug", "doc_id as ord", "n_chars", "explode(sequence(0, cast(n_chars % 3 as int))) as pos")
     r = r.selectExpr("slug", "ord", "pos", "if(pos = 0, 'M', 'N') as metric", "n_chars + pos as value")
     return K.result_values(parsed(spark, sf), experiments(spark, sf), r).select("question_id", "slug", "ord", "pos", "metric", "value", "rank")
 
@@ -131,11 +131,11 @@ def question_experiments(spark, sf):
 
 
 @query("question_limitations", f"""with {_X},
-li as (select source as slug, doc_id as pos, case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme, n_chars % 30 as page from documents where doc_id % 7 = 0),
+li as (select source as slug, doc_id as pos, case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme, n_chars % 30 as page from documents),
 c as (select p.question_id, li.* from p join li on (len(p.themes) = 0 or list_contains(p.themes, li.theme)) and (p.nf = 0 or li.slug in (select x.slug from x where x.question_id = p.question_id)) where understood and lim)
 select *, row_number() over (partition by question_id order by slug, pos) as rank from c qualify rank <= 40""")
 def question_limitations(spark, sf):
-    li = table(spark, sf, "documents").filter("doc_id % 7 = 0").selectExpr("source as slug", "doc_id as pos", "case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme", "n_chars % 30 as page")
+    li = table(spark, sf, "documents").selectExpr("source as slug", "doc_id as pos", "case lang when 'en' then 'DATA' when 'fr' then 'UNCERTAINTY' else 'PHYSICS' end as theme", "n_chars % 30 as page")
     return K.limitation_values(parsed(spark, sf), experiments(spark, sf), li).select("question_id", "slug", "pos", "theme", "page", "rank")
 
 
