@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from attestry.llm.words import STEPS, mix, pieces
 
 UNKNOWN = "und"
+GRAMS = 8192  # n-grams whose vectors are held at a time
 GAP = 32
 _tables: dict = {}
 
@@ -90,22 +91,34 @@ def bundles(column: pa.Array, dims: int, n: int, size: int = 1 << 21) -> Iterato
             else:
                 grams, back = np.unique(key, return_inverse=True)
             vectors = _letter_vectors(alphabet, dims)
-            bound = np.ones((len(grams), dims), dtype=np.int8)
-            rest = grams
-            for k in range(n):  # the last letter is rotated least
-                bound *= np.roll(vectors, k, axis=1)[rest % len(alphabet)]
-                rest = rest // len(alphabet)
-            bound = bound.astype(np.float32)
-            step = max(1, (1 << 22) // len(grams))
-            edges = np.searchsorted(own, np.arange(0, rows + step, step))
-            for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                block = min(step, rows - i * step)
-                if hi > lo:
-                    times = np.bincount((own[lo:hi] - i * step) * len(grams) + back[lo:hi], minlength=block * len(grams))
-                    out[i * step : i * step + block] = times.reshape(block, -1).astype(np.float32) @ bound
+            order = np.argsort(back, kind="stable") if len(grams) > GRAMS else None
+            for at in range(0, len(grams), GRAMS):  # few grams at a time: their vectors take ``GRAMS * dims`` numbers
+                some = grams[at : at + GRAMS]
+                bound = np.ones((len(some), dims), dtype=np.int8)
+                rest = some
+                for k in range(n):  # the last letter is rotated least
+                    bound *= np.roll(vectors, k, axis=1)[rest % len(alphabet)]
+                    rest = rest // len(alphabet)
+                if order is None:
+                    _add(out, own, back, bound.astype(np.float32))
+                else:
+                    mine = np.sort(order[np.searchsorted(back, at, sorter=order) : np.searchsorted(back, at + len(some), sorter=order)])
+                    _add(out, own[mine], back[mine] - at, bound.astype(np.float32))
         yield first, last, out, has
 
 
+def _add(out: np.ndarray, own: np.ndarray, back: np.ndarray, bound: np.ndarray) -> None:
+    """Adds to each row the vectors of its grams; ``own``, the row of each gram, rises."""
+    grams = len(bound)
+    step = max(1, (1 << 22) // grams)
+    edges = np.searchsorted(own, np.arange(0, len(out) + step, step))
+    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        block = min(step, len(out) - i * step)
+        if hi > lo:
+            times = np.bincount((own[lo:hi] - i * step) * grams + back[lo:hi], minlength=block * grams)
+            out[i * step : i * step + block] += times.reshape(block, -1).astype(np.float32) @ bound
+
+
 def profiles(labelled: DataFrame, text: str, lang: str, dims: int = 1024, n: int = 3, salts: int = 64) -> DataFrame:
     """(lang, vector): each language's prototype, from all rows with a language."""
 

@@ -7,7 +7,7 @@ repositories looks live and becomes a span of kind ``owned``; what several owner
 The same frequencies sort the base spans into live ones and examples.
 
 Positions come from native functions: a pattern's matches and the pieces between them alternate, so their
-lengths add up to the starts. Only hashes and counts are shuffled; the candidates are stored once in the shared folder.
+lengths add up to the starts; sums and comparisons go by chunks, so a text with n matches takes about n * sqrt(n) steps. Only hashes and counts are shuffled; the candidates are stored once in the shared folder.
 Hot candidates are reduced before each shuffle, first by repository, then by owner.
 
 Defined cases: a null text is empty and has no spans; a null owner or repository counts as one of its own; rows that repeat
@@ -36,8 +36,8 @@ def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: in
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
     def located(found: Column, gaps: Column, values: Column) -> Column:
-        # After i matches: where the text goes on, and the spans so far.
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        n = F.size(found)
+        chunk = F.ceil(F.sqrt(n)).cast("int")  # matches to a chunk, and chunks: an array grows by no more than that many steps
 
         def step(state: Column, i: Column) -> Column:
             begin = state["at"] + F.length(F.get(gaps, i))
@@ -46,7 +46,16 @@ def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: in
             span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value")))
             return F.struct(end.alias("at"), F.when(F.length(value) >= least, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
+        def one(at: Column, j: Column) -> Column:
+            """Where the text goes on after chunk ``j``, and its spans."""
+            places = F.sequence(j * chunk, F.least(n, (j + 1) * chunk) - 1)
+            return F.aggregate(places, F.struct(at.alias("at"), empty.alias("out")), step)
+
+        whole = F.aggregate(
+            F.sequence(F.lit(0), F.ceil(n / chunk).cast("int") - 1), F.struct(F.lit(0).alias("at"), F.array(empty).alias("outs")),
+            lambda state, j: let(one(state["at"], j), lambda r: F.struct(r["at"].alias("at"), F.concat(state["outs"], F.array(r["out"])).alias("outs"))),
+        )
+        return F.flatten(whole["outs"])
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
@@ -54,6 +63,22 @@ def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: in
     return F.when(F.rlike(text, F.lit(pattern)), let(parts, lambda p: located(p["found"], p["gaps"], p["values"]))).otherwise(empty)
 
 
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span. Base spans come sorted; whole chunks of them are passed over by their outer ends."""
+
+    def free(chunks: Column) -> Column:
+        meets = lambda t, s: (t["start"] < s["end"]) & (s["start"] < t["end"])
+        return F.filter(tokens, lambda t: ~F.exists(chunks, lambda c: F.when(meets(t, c), F.exists(c["spans"], lambda s: meets(t, s))).otherwise(False)))
+
+    def chunked(b: Column) -> Column:
+        n = F.size(b)
+        m = F.ceil(F.sqrt(n)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(n / m).cast("int") - 1), lambda j: F.slice(b, j * m + 1, m))
+        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda s: s["end"])).alias("end"), p.alias("spans")))
+
+    return F.when(F.size(base) == 0, tokens).otherwise(let(base, lambda b: let(chunked(b), free)))
+
+
 def candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """doc_id, repository, owner, text_hash, base spans and other candidate spans of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -61,7 +86,7 @@ def candidates(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     base = F.array_sort(F.concat(spans(F.col("text"), ASSIGN, 0, 2, LEAST_VALUE), spans(F.col("text"), ACCESS, 1), spans(F.col("text"), HEX, 2)))
     tokens = spans(F.col("text"), TOKEN, 3)
     found = rows.select("doc_id", "repository", "owner", F.xxhash64("text").alias("text_hash"), base.alias("base"), tokens.alias("tokens"))
-    other = let(F.col("base"), lambda b: F.filter("tokens", lambda t: ~F.exists(b, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
+    other = apart(F.col("tokens"), F.col("base"))
     hidden = lambda c: F.transform(c, lambda s: F.struct(s["start"], s["kind"], s["end"], F.xxhash64(s["value"]).alias("hash")))
     return found.select("doc_id", "repository", "owner", "text_hash", hidden("base").alias("base"), hidden(other).alias("other"))
 
