@@ -1,11 +1,16 @@
 """Queries over nested records. Each order becomes one record document."""
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestry.operators import gate, walk
 from attestry.plans import sqltext as S
 from attestry.plans.registry import query, spread_table, table
+from attestry.session import shared_dir
 from attestry.sources import records as R
+from attestry.sources import scans as C
 
 _RECORD = """to_json(named_struct(
  'source', named_struct('file', concat('c', o_custkey), 'edition', 'PREPRINT', 'pdf_pages', 12, 'printed_page_offset', 0,
@@ -187,3 +192,70 @@ def record_gate(spark, sf):
 def record_gate_failures(spark, sf):
     report, _ = gate.record_gate(records(spark, sf), record_pages(spark, sf))
     return report.filter("not located").select("slug", "path", "page_pdf", "found_on", F.coalesce("first_found", F.lit(-1)).alias("first_found"))
+
+
+# --- folders of files: each supplier writes a document, some of them bad ------------------
+
+def written(spark, sf, document):
+    """A folder with one file for every supplier."""
+    where = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf, "supplier").select(F.concat(F.lit("d"), "s_suppkey").alias("slug"), F.expr(document).alias("value")).write.partitionBy("slug").text(where)
+    return where
+
+
+_K = "k as (select s_suppkey as k, 'd' || s_suppkey as file, s_suppkey % 10 as r from supplier)"
+
+
+def scanned(rows, refusals, key):
+    return refusals.select("file", "rule", "key").unionByName(rows.select(F.lit("").alias("file"), F.lit("accepted").alias("rule"), F.col(key).alias("key")))
+
+
+@query("scan_records", f"""with {_K} select file, case r when 0 then 'not_json' when 1 then 'not_an_object' else 'other_slug' end as rule, case when r = 2 then 'x' || k else '' end as key from k where r < 3
+union all select '', 'accepted', file from k where r > 2""")
+def scan_records(spark, sf):
+    doc = "case s_suppkey % 10 when 0 then '{\"paper\": ' when 1 then '[1]' when 2 then concat('{\"slug\": \"x', s_suppkey, '\"}') when 3 then concat('{\"slug\": \"d', s_suppkey, '\"}') else '{\"paper\": {}}' end"
+    return scanned(*C.scan_records(spark, written(spark, sf, doc), "*.txt"), "slug")
+
+
+@query("scan_golden", f"""with {_K}, g as (select *, case when r = 2 then 'same' else 'g' || k end as id from k where r > 2 or r = 2),
+again as (select id from g group by id having count(*) > 1)
+select file, case r when 0 then 'not_json' else 'id_missing' end as rule, '' as key from k where r < 2 union all select file, 'id_repeated', id from g where id in (from again)
+union all select '', 'accepted', id || '/data.quality' from g where id not in (from again)""")
+def scan_golden(spark, sf):
+    doc = """case s_suppkey % 10 when 0 then '' when 1 then '{"fields": []}' else concat('{"paper": {"id": "', if(s_suppkey % 10 = 2, 'same', concat('g', s_suppkey)), '"}, "fields": [{"path": "data.quality", "family": "data", "status": "VERIFIED", "value": 1}]}') end"""
+    rows, refusals = C.scan_golden(spark, written(spark, sf, doc), "*.txt")
+    return scanned(rows.withColumn("key", F.concat_ws("/", "paper_id", "path")), refusals, "key")
+
+
+@query("scan_predictions", f"""with {_K} select file, case r when 0 then 'not_an_object' when 5 then 'paper_repeated' when 6 then 'path_repeated' else 'key_unknown' end as rule,
+  case r when 1 then 'model' when 2 then 'score' when 3 then 'confidence' when 5 then file || '/p' when 6 then file || '/p/a.b' else '' end as key from k where r < 7 and r <> 4
+union all select file, 'path_repeated', file || '/p/a.b' from k where r = 5
+union all select '', 'accepted', 'p/a.b' from k where r > 6 or r = 4""")
+def scan_predictions(spark, sf):
+    field = """concat('{"path": "a.b", "status": "NOT_VERIFIED", "value": 1', if(r = 3, ', "confidence": 1', ''), '}')"""
+    paper = f"""concat('{{"paper_id": "p", "fields": [', {field}, if(r = 6, concat(', ', {field}), ''), ']', if(r = 2, ', "score": 1', ''), '}}')"""
+    doc = f"""if(r = 0, '"text"', concat('{{"schema_version": 1, ', if(r = 1, '"model": "m", ', ''), '"predictions": [', {paper}, if(r = 5, concat(', ', {paper}), ''), ']}}'))"""
+    rows, refusals = C.scan_predictions(spark, written(spark, sf, re.sub(r"\br\b(?= =)", "s_suppkey % 10", doc)), "*.txt")
+    return scanned(rows.withColumn("key", F.concat_ws("/", "paper_id", "path")), refusals, "key")
+
+
+@query("scan_manifest", f"""with {_K} select file, case r when 0 then 'not_json' when 1 then 'not_a_list' else 'state_unknown' end as rule, case when r = 2 then '10.1/' || k else '' end as key from k where r < 3
+union all select file, 'doi_repeated', '10.1/same' from k where r = 3 and (select count(*) from k where r = 3) > 1
+union all select file, 'doi_repeated', '10.1/' || k from k where r = 2
+union all select '', 'accepted', case when r = 3 then '10.1/same' else '10.1/' || k end from k where r > 3 or (r = 3 and (select count(*) from k where r = 3) = 1)""")
+def scan_manifest(spark, sf):
+    entry = """concat('{"doi": "10.1/', if(s_suppkey % 10 = 3, 'same', cast(s_suppkey as string)), '", "status": "BLOCKED", "extra": 1}')"""
+    other = """if(s_suppkey % 10 = 2, concat(', {"doi": "10.1/', s_suppkey, '", "status": "ODD"}'), '')"""
+    doc = f"case s_suppkey % 10 when 0 then 'x' when 1 then '{{}}' else concat('[', {entry}, {other}, ']') end"
+    rows, refusals = C.scan_manifest(spark, written(spark, sf, doc), "*.txt")
+    return scanned(rows, refusals, "doi")
+
+
+@query("ledger_runs", "select event_id, case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as run_id from events")
+def ledger_runs(spark, sf):
+    """Three overlapping runs, one of them sent twice: every event is there once, under the run that brought it."""
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    root = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    for run, part in (("a", "event_id % 3 = 0"), ("b", "event_id % 3 < 2"), ("b", "event_id % 3 < 2"), ("c", "true")):
+        C.append_run(e.filter(part).unionByName(e.filter(part)), root, run)
+    return C.ledger(spark, root, "event_id long, event_type string, run_id string").select("event_id", "run_id")

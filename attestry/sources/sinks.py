@@ -1,4 +1,4 @@
-"""Writing: append-only ledgers, published snapshots, run logs, sorted exports.
+"""Writing: published snapshots, run logs, sorted exports.
 
 A snapshot is a folder per run with one table each. It becomes visible when its manifest row
 is written, which happens last; a job that dies before leaves nothing readers would see.
@@ -11,17 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.operators.ledger import append_once
-from attestry.operators.validate import accepted
-
 MANIFEST = "_manifest"
 
 
-def append_ledger(events: DataFrame, path: str, stored: DataFrame | None = None, key: str = "event_id") -> None:
-    """Adds events to a ledger; with ``stored`` given, only those it does not have."""
-    (append_once(events, stored, key) if stored is not None else events).write.mode("append").parquet(path)
-
-
 def publish_snapshot(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str, at: str, note: str = "") -> None:
     """Writes all tables of a run, then the manifest row that makes them current."""
     for name, df in tables.items():
@@ -43,21 +35,6 @@ def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{run}/{name}")
 
 
-def import_package(
-    spark: SparkSession, root: str, run_id: str, at: str, violations: DataFrame, plans: dict[str, DataFrame], tables: dict[str, DataFrame], dry_run: bool = False,
-) -> str:
-    """All or nothing: ``rejected`` on any error row, ``stale`` when a row would go back to
-    content already replaced, ``planned`` for a dry run, else ``imported``."""
-    if not accepted(violations):
-        return "rejected"
-    if any(not plan.filter("action = 'stale'").isEmpty() for plan in plans.values()):
-        return "stale"
-    if dry_run:
-        return "planned"
-    publish_snapshot(spark, tables, root, run_id, at)
-    return "imported"
-
-
 def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Replaces only the partitions the rows belong to; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
