@@ -79,6 +79,18 @@ def walk_anywhere(spark, sf):
     return walk.walk_anywhere(records(spark, sf)).select("slug", "path")
 
 
+@query("paths_read_back", f"""with {_CLAIMS} select slug, path, split_part(path, '[', 1) as head, len(regexp_extract_all(path, '[A-Za-z_][A-Za-z0-9_]*|\\[[0-9]+\\]')) as steps,
+  coalesce(quote, '') as quote, coalesce(value_json, '') as value_json from c union all select slug, 'source.edition_evidence', 'source.edition_evidence', 2, 'arXiv ' || o_orderkey, '' from o""")
+def paths_read_back(spark, sf):
+    """Every stored claim path leads to the node it was taken from."""
+    r = records(spark, sf)
+    out = walk.read_back(r, walk.claims(r, provenance=True).select("slug", "path"))
+    text = lambda at: F.coalesce(F.try_variant_get("node", at, "string"), F.lit(""))
+    claim = F.coalesce(F.try_variant_get("node", "$.value", "variant"), F.try_variant_get("node", "$.claim", "variant"))
+    steps = walk.path_steps(F.col("path"))
+    return out.filter(walk.joined_steps(steps) == F.col("path")).select("slug", "path", F.substring_index("path", "[", 1).alias("head"), F.size(steps).alias("steps"), text("$.quote").alias("quote"), F.coalesce(F.to_json(claim), F.lit("")).alias("value_json"))
+
+
 @query("record_papers", f"""with {_O} select slug, 'P' || o_orderkey as paper_id, 'Order ' || o_orderkey as title, year(o_orderdate) as year, o_orderpriority as domains,
   case when o_orderstatus = 'P' then 'review' else '' end as excluded, 'c' || o_custkey as source_file from o""")
 def record_papers(spark, sf):

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.operators.validate import accepted
+
 MANIFEST = "_manifest"
 
 
@@ -35,6 +37,21 @@ def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{run}/{name}")
 
 
+def import_package(
+    spark: SparkSession, root: str, run_id: str, at: str, violations: DataFrame, plans: dict[str, DataFrame], tables: dict[str, DataFrame], dry_run: bool = False,
+) -> str:
+    """All or nothing: ``rejected`` on any error row, ``stale`` when a row would go back to
+    content already replaced, ``planned`` for a dry run, else ``imported``."""
+    if not accepted(violations):
+        return "rejected"
+    if any(not plan.filter("action = 'stale'").isEmpty() for plan in plans.values()):
+        return "stale"
+    if dry_run:
+        return "planned"
+    publish_snapshot(spark, tables, root, run_id, at)
+    return "imported"
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """Replaces only the partitions the rows belong to; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -89,3 +89,14 @@ def test_field_rules(spark):
     for r in S.field_rules(S.field_states(rows)).collect():
         found.setdefault(int(r.key.split("/")[0]), set()).add(r.rule)
     assert {i: found.get(i, set()) for i in range(len(cases))} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_every_path_of_the_walk_reads_back(spark):
+    node = {"page_pdf": 1, "quote": "q"}
+    docs = [("a", {"x": {"y": [node, {"z": node}]}, "w": node}), ("b", {"x.y": [node], "k[0]": node, "": node, "é": node, "a'b\"": [[node]]}), ("c", {})]
+    r = spark.createDataFrame([(s, json.dumps(d)) for s, d in docs], "slug string, doc string").select("slug", F.parse_json("doc").alias("v"))
+    walked = W.walk_anywhere(r).select("slug", "path", F.to_json("node").alias("want"))
+    got = W.read_back(r, walked).select("slug", "path", "want", F.to_json("node").alias("got")).collect()
+    assert len(got) == 8 and all(json.loads(g["want"]) == json.loads(g["got"]) for g in got)
+    lost = W.read_back(r, spark.createDataFrame([("a", "x.no"), ("a", "x.y[9]"), ("zz", "x"), ("a", "x.y[1].z")], "slug string, path string")).select("path", F.to_json("node").alias("n")).collect()
+    assert {g["path"]: g["n"] is not None for g in lost} == {"x.no": False, "x.y[9]": False, "x": False, "x.y[1].z": True}
