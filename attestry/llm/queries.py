@@ -45,7 +45,17 @@ def op2(spark, sf):
     return media.aligned(clips, F.col("clip_id") % 50 == 0).withColumnRenamed("clip_id", "doc_id")
 
 
-@query("op3_minhash_dedup")
+# The definition itself: full sets, every pair with a common shingle, and what is reachable over links.
+_NEAR = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+sets as (select doc_id, case when len(ws) >= 5 then list_distinct([array_to_string(ws[i : i + 4], ' ') for i in range(1, len(ws) - 3)]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as s from w),
+sh as (select doc_id, len(s) as n, unnest(s) as x from sets),
+links as (select a.doc_id as u, b.doc_id as v from sh a join sh b on a.x = b.x and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach as (select doc_id as u, doc_id as v from documents union select reach.u, links.v from reach join links on links.u = reach.v)
+select sets.doc_id, len(s)::bigint as n_shingles, min(v) as component_id, sets.doc_id = min(v) as kept from sets join reach on reach.u = sets.doc_id group by sets.doc_id, s"""
+
+
+@query("op3_minhash_dedup", _NEAR)
 def op3(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents"))
 
