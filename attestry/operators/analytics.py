@@ -222,6 +222,11 @@ def entity_papers(experiments: DataFrame, papers: DataFrame, kind: str, name: st
     return papers.select("slug", "title", "year").join(counts, "slug").orderBy(F.coalesce("year", F.lit(0)).desc(), "slug")
 
 
+def entity_experiment_list(experiments: DataFrame, kind: str, name: str) -> DataFrame:
+    """The experiments of one entity, each once."""
+    return entity_experiments(experiments).filter((F.col("kind") == kind) & (F.col("name") == name)).drop("kind", "name")
+
+
 def entity_problems(experiments: DataFrame, limitations: DataFrame, kind: str, name: str) -> DataFrame:
     mine = entity_experiments(experiments).filter((F.col("kind") == kind) & (F.col("name") == name)).select("slug").distinct()
     return limitations.join(mine, "slug", "left_semi")

@@ -114,6 +114,11 @@ def audit_progress(decorated: DataFrame) -> DataFrame:
     )
 
 
+def auditors(verdicts: DataFrame) -> DataFrame:
+    """(auditor, claims): who stands behind the current verdicts."""
+    return verdicts.groupBy("auditor").agg(F.count("*").alias("claims"))
+
+
 def audit_progress_by(decorated: DataFrame, by: str = "slug") -> DataFrame:
     return decorated.groupBy(by).agg(
         F.count("*").alias("claims"),

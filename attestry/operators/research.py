@@ -205,6 +205,30 @@ def research_view(states: DataFrame, mention_rows: DataFrame, editions: DataFram
                   n(typed_rows(states, "results"), "results"), n(statements(states), "statements"), n(relations, "relationships")])
 
 
+def research_rows(states: DataFrame, mention_rows: DataFrame, editions: DataFrame, relations: DataFrame) -> DataFrame:
+    """All that is known of each paper, row by row: (paper_id, part, item, status, detail). ``editions`` has edition_id, ``relations`` edge_id and status."""
+    from attestry.operators.analytics import union
+
+    none = F.lit(None).cast("string")
+
+    def part(df: DataFrame, name: str, item: Column, status: Column = none, detail: Column = none) -> DataFrame:
+        return df.select("paper_id", F.lit(name).alias("part"), item.cast("string").alias("item"), status.cast("string").alias("status"), detail.cast("string").alias("detail"))
+
+    place = F.concat_ws("#", "field_path", "item")
+    status, wording = F.col("status"), F.col("wording")
+    return union([
+        part(editions, "editions", F.col("edition_id")), part(states, "field_states", F.col("field_path"), status, F.col("value_json")),
+        part(mention_rows, "mentions", F.concat_ws("/", "field_path", "entity_type"), none, F.col("normalized_key")),
+        part(hyperparameters(states), "hyperparameters", F.col("name"), status, F.col("value_json")), part(typed_rows(states, "results"), "results", place, status, wording),
+        part(statements(states), "statements", place, status, wording), part(relations, "relationships", F.col("edge_id"), status)])
+
+
+def evidence_gather(mention_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """For every entity the rows of every paper that mentions it, each paper once: two hops, from entities to papers and to what they hold."""
+    papers = mention_rows.select("entity_type", "normalized_key", "paper_id").distinct()
+    return papers.join(rows, "paper_id")
+
+
 # --- relationships ----------------------------------------------------------------------
 
 def relationship_rules(edges: DataFrame) -> DataFrame:

@@ -143,6 +143,12 @@ def entity_detail(spark, sf):
     return A.entity_papers(experiments(spark, sf), papers(spark, sf), "family", "Brand#3")
 
 
+@query("entity_experiment_list", f"with {_E} select slug, ord, task, method, array_to_string(datasets, '|') as datasets, variable, case when metric is null then 0 else 1 end as results from e where list_contains(datasets, 'ERA5 3')")
+def entity_experiment_list(spark, sf):
+    out = A.entity_experiment_list(experiments(spark, sf), "dataset", "ERA5 3")
+    return out.select("slug", "ord", "task", "method", F.array_join("datasets", "|").alias("datasets"), "variable", F.size("metrics").alias("results"))
+
+
 @query("entity_problems", f"with {_E} select variable as theme, count(*) as n from e where slug in (select slug from e where method = 'red ring') group by 1")
 def entity_problems(spark, sf):
     e = experiments(spark, sf)

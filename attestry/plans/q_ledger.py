@@ -126,6 +126,12 @@ def audit_progress(spark, sf):
     return L.audit_progress(decorated(spark, sf))
 
 
+@query("audit_auditors", f"with {_CLAIMS}, {_REQUESTS} select auditor, count(*) as claims from latest group by auditor")
+def audit_auditors(spark, sf):
+    r = requests(spark, sf)
+    return L.auditors(L.current_verdicts(r.join(L.verdict_problems(r).select("event_id"), "event_id", "left_anti")))
+
+
 @query("audit_progress_by_paper", f"with {_CLAIMS}, {_REQUESTS} select slug, {_COUNT} from decorated group by slug")
 def audit_progress_by_paper(spark, sf):
     return L.audit_progress_by(decorated(spark, sf))

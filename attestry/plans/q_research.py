@@ -104,6 +104,30 @@ def research_view(spark, sf):
     return R.research_view(states(spark, sf), mentions(spark, sf), o, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id")))
 
 
+_ROWS = f"""{_MEN}, rows as (select paper_id, 'mentions' as part, field_path || '/' || entity_type as item, '' as status from men union all select paper_id, 'field_states', field_path, status from s
+ union all select paper_id, 'hyperparameters', split_part(field_path, '.', -1), status from s where field_path like 'training.%' union all select paper_id, 'results', field_path || '#' || i, status from s, (select unnest([0, 1]) as i) where pos = 6
+ union all select paper_id, 'statements', field_path || '#0', status from s where field_path like 'limitations.%' union all select l_orderkey, 'relationships', l_orderkey || '-' || l_linenumber, l_linestatus from lineitem
+ union all select o_orderkey, 'editions', 'E' || o_orderkey, '' from orders)"""
+
+
+def known_rows(spark, sf):
+    editions = table(spark, sf, "orders").selectExpr("o_orderkey as paper_id", "'E' || o_orderkey as edition_id")
+    relations = table(spark, sf, "lineitem").selectExpr("l_orderkey as paper_id", "l_orderkey || '-' || l_linenumber as edge_id", "l_linestatus as status")
+    return R.research_rows(states(spark, sf), mentions(spark, sf), editions, relations)
+
+
+@query("research_rows", f"with {_ROWS} select paper_id, part, item, status from rows")
+def research_rows(spark, sf):
+    return known_rows(spark, sf).select("paper_id", "part", "item", F.coalesce("status", F.lit("")).alias("status"))
+
+
+@query("entity_gather", f"""with {_ROWS}, pp as (select distinct entity_type, normalized_key, paper_id from men)
+select entity_type, normalized_key, part, count(*) as n, count(distinct paper_id) as papers, min(item) as first_item from pp join rows using (paper_id) group by all""")
+def entity_gather(spark, sf):
+    rows = R.evidence_gather(mentions(spark, sf), known_rows(spark, sf))
+    return rows.groupBy("entity_type", "normalized_key", "part").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("papers"), F.min("item").alias("first_item"))
+
+
 _SILENT = ", ".join(f"'{p}'" for p in V.FIELD_TYPES if p not in [f[0] for f in _FIELDS])
 
 
