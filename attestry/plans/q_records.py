@@ -123,6 +123,13 @@ def record_outline(spark, sf):
     return out
 
 
+@query("record_categories", f"""with {_O}, k as (select * from o where o_orderstatus <> 'P')
+select 'family' as category, o_orderpriority as value, count(*) as n from k group by 2 union all select 'dataset', dname, count(*) from k group by 2 union all select 'task', tname, count(*) from k group by 2
+union all select 'metric', 'RMSE', count(*) from k having count(*) > 0 union all select 'metric', 'MAE', count(*) from k where o_orderkey % 2 = 0 having count(*) > 0 union all select 'edition', 'PREPRINT', count(*) from k having count(*) > 0""")
+def record_categories(spark, sf):
+    return walk.category_tallies(records(spark, sf))
+
+
 @query("record_validity", """select count(*) as total, count_if(event_id % 7 not in (0, 1)) as readable, count_if(event_id % 7 in (0, 1)) as invalid from events""")
 def record_validity(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_id").alias("slug"), F.expr("case event_id % 7 when 0 then concat('{', props) when 1 then '[1]' else props end").alias("doc"))

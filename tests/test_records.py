@@ -100,3 +100,11 @@ def test_every_path_of_the_walk_reads_back(spark):
     assert len(got) == 8 and all(json.loads(g["want"]) == json.loads(g["got"]) for g in got)
     lost = W.read_back(r, spark.createDataFrame([("a", "x.no"), ("a", "x.y[9]"), ("zz", "x"), ("a", "x.y[1].z")], "slug string, path string")).select("path", F.to_json("node").alias("n")).collect()
     assert {g["path"]: g["n"] is not None for g in lost} == {"x.no": False, "x.y[9]": False, "x": False, "x.y[1].z": True}
+
+
+def test_tallies_count_proposed_or_novel_methods_of_kept_records(spark):
+    docs = [
+        {"methods": [{"family": "A", "role": "PROPOSED"}, {"family": "B", "role": "BASELINE"}, {"family": "B", "role": "BASELINE", "is_novel_in_paper": True}, {"role": "PROPOSED"}], "datasets": [{"canonical_name": "x" * 50}]},
+        {"methods": [{"family": "A", "role": "PROPOSED"}], "excluded": {"reason": "review"}}, {"results": [{"metric": "M"}, {}], "source": {"edition": "E"}}, {}]
+    r = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(docs)], "slug string, doc string").select("slug", F.parse_json("doc").alias("v"))
+    assert {tuple(x) for x in W.category_tallies(r).collect()} == {("family", "A", 1), ("family", "B", 1), ("dataset", "x" * 46, 1), ("metric", "M", 1), ("edition", "E", 1)}
