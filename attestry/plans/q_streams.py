@@ -10,6 +10,7 @@ from attestry.plans.registry import as_int, query, table
 from attestry.session import shared_dir
 from attestry.sources import sheets, sinks
 from attestry.streaming import events as T
+from attestry.streaming import parts as P
 
 
 def _work(spark):
@@ -24,28 +25,40 @@ def _stream(spark, sf, name):
     return T.read_stream(spark, f"{sf}/{name}[.]parquet", table(spark, sf, name).schema)
 
 
+def _event_stream(spark, sf, out, results=None, keys=None):
+    """The events in four files that each hold all days, one event in seven a second time in another file: read one by one in
+    two runs of the stream, with a compaction after each."""
+    e = table(spark, sf, "events").selectExpr("*", "explode(if(event_id % 7 = 0, array(0, 1), array(0))) as copy")
+    for half in (0, 1):
+        rows = e.filter(F.pmod(F.col("event_id") + F.col("copy"), F.lit(2)) == half).repartition(2).drop("copy")
+        rows.write.mode("append").parquet(f"{out}/in")
+        stream = T.read_stream(spark, f"{out}/in", rows.schema, files_per_trigger=1)
+        P.write_new_events(stream, f"{out}/t", f"{out}/c", results={n: part for n, (part, _) in (results or {}).items()})
+        P.compact(spark, f"{out}/t", [P.DAY, "event_id"])
+        for name, (_, merge) in (results or {}).items():
+            P.compact(spark, f"{out}/t/{name}", keys, merge)
+    return f"{out}/t"
+
+
 @query("stream_intake", "select event_id, user_id, event_type from events")
 def stream_intake(spark, sf):
-    e = _stream(spark, sf, "events").selectExpr("*", "explode(array(0, 1)) as copy").drop("copy")
-    out = _work(spark)
-    T.write_batches(T.intake(e), f"{out}/t", f"{out}/c", "append")
-    return spark.read.parquet(f"{out}/t").select("event_id", "user_id", "event_type")
+    return P.read_new_events(spark, _event_stream(spark, sf, _work(spark))).select("event_id", "user_id", "event_type")
 
 
 @query("stream_latest", "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def stream_latest(spark, sf):
-    out = _work(spark)
-    T.write_batches(T.latest_decisions(_stream(spark, sf, "events"), "user_id", "ts", "event_id", "event_type"), f"{out}/t", f"{out}/c", "update")
-    return T.read_updates(spark, f"{out}/t", "user_id").select("user_id", "event_id", "event_type")
+    steps = P.newest_of("user_id", "ts", "event_id", "event_type")
+    out = _event_stream(spark, sf, _work(spark), {"latest": steps}, ["user_id"])
+    return P.read_parts(spark, f"{out}/latest", steps[1]).select("user_id", "event_id", "event_type")
 
 
 @query("stream_progress", "select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by 1, 2")
 def stream_progress(spark, sf):
-    out = _work(spark)
     here = F.current_timezone()  # the table's times carry no zone; days are cut in UTC
-    e = _stream(spark, sf, "events").withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), here))
-    T.write_batches(T.progress(e, "event_type"), f"{out}/t", f"{out}/c", "update")
-    rows = T.read_updates(spark, f"{out}/t", "event_type", "day")
+    part, merge = P.counts_of("event_type", "ts")
+    local = lambda rows: part(rows.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), here)))
+    out = _event_stream(spark, sf, _work(spark), {"days": (local, merge)}, ["day", "event_type"])
+    rows = P.read_parts(spark, f"{out}/days", merge)
     return rows.select("event_type", F.date_format(F.to_utc_timestamp("day", here), "yyyy-MM-dd").alias("day"), "n")
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming over audit events and arriving pages.
 
 Events are append-only, carry an id and may come late or twice. Every sink is a table keyed
-by batch, overwritten when a batch is retried, so results do not depend on retries.
+by batch, overwritten when a batch is retried, so results do not depend on retries. Intake, newest
+decisions and progress without state between batches are in ``parts``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.operators.gate import locate_on_cited_page
-from attestry.operators.keyed import newest
 from attestry.operators.ledger import attach_verdicts
 
 
@@ -35,17 +35,6 @@ def intake(events: DataFrame, at: str = "ts", key: str = "event_id", delay: str
     return events.dropDuplicates([key]) if delay is None else events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_decisions(events: DataFrame, target: str, at: str, event_id: str, *carry: str) -> DataFrame:
-    """Newest decision per target; an older event that arrives late changes nothing."""
-    return events.groupBy(target).agg(F.max(F.struct(F.col(at).cast("timestamp").alias("at"), event_id, *carry)).alias("last")).select(target, "last.*")
-
-
-def progress(events: DataFrame, state: str, at: str = "ts", window: str = "1 day") -> DataFrame:
-    """Events per state and day."""
-    day = F.window(F.col(at).cast("timestamp"), window)
-    return events.groupBy(state, day.alias("w")).agg(F.count("*").alias("n")).select(state, F.col("w.start").alias("day"), "n")
-
-
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str, each: Callable[[DataFrame], DataFrame] = lambda b: b) -> None:
     """Runs the stream over what is there and ends. Batch k lands in ``out/batch=k``."""
 
@@ -55,11 +44,6 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str, each:
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_updates(spark: SparkSession, out: str, *key: str) -> DataFrame:
-    """Latest update per key of a table written in update mode."""
-    return newest(spark.read.parquet(out), list(key), ["batch"]).drop("batch")
-
-
 def stale_verdicts(changed_claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts a batch of changed claims(claim_id, fingerprint) made stale."""
     return attach_verdicts(changed_claims, verdicts).filter("audit_state = 'STALE'")
