@@ -221,17 +221,58 @@ def test_licences_and_inheritance(spark):
     assert licences.licensed(frame(spark, [], "doc_id long, path string, text string")).count() == 0
 
 
-def test_licence_cosine_is_the_formula(spark):
-    lines = ["Released under the MIT License.", "mit license", "License of the GNU public"]
-    got = {r["line"]: r for r in licences.scores(frame(spark, [(x,) for x in lines], "line string"), 0.1).collect()}
-    tok = lambda t: Counter(w.lower() for w in re.findall(r"[^\W_]+", t))
-    texts = [tok(x) for x in lines] + [tok(t) for _, t in licences.TEMPLATES]
-    idf = {w: math.log((len(texts) + 1) / (sum(w in t for t in texts) + 1)) + 1 for t in texts for w in t}
-    norm = lambda t: math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items()))
-    for line in lines:
-        a = tok(line)
-        best = min((-round(sum(a[w] * b[w] * idf[w] ** 2 for w in a) / norm(a) / norm(b), 9), n) for n, b in ((n, tok(t)) for n, t in licences.TEMPLATES))
-        assert got[line]["licence"] == best[1] and abs(got[line]["cosine"] + best[0]) < 1e-6
+def _licence_by_brute_force(texts, least):
+    """Licence and cosine of each text from every passage at every place, with weights counted here."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    words = [split(t) for t in texts]
+    ix = licences.index(len(texts), Counter(w for own in words for w in set(own)), least)
+    weight = lambda own: {w: k * (math.log((len(texts) + 1) / (sum(w in x for x in map(set, words)) * (w in ix.idf) + 1)) + 1) for w, k in Counter(own).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    best, unfiltered = [], []
+    for own in words:
+        ends = [(0.0, "")]
+        every = [(0.0, "")]
+        for t, (name, template) in enumerate(licences.TEMPLATES):
+            other = split(template)
+            b = weight(other)
+            padded = [f"-{i}" for i in range(len(other))] + own + [f"+{i}" for i in range(len(other))]
+            for s in range(1 - len(other), len(own)):
+                a = weight(padded[s + len(other) : s + 2 * len(other)])
+                cosine = round(sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b), 9)
+                if cosine >= least:
+                    every.append((-cosine, name))
+                    if any(0 <= s + i < len(own) and own[s + i] == w for w, places in ix.places.items() for k, i in places if k == t):
+                        ends.append((-cosine, name))
+        best.append(min(ends))
+        unfiltered.append(min(every))
+    return best, unfiltered
+
+
+def test_licences_against_brute_force(spark):
+    gpl = next(t for n, t in licences.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    gpl2 = next(t for n, t in licences.TEMPLATES if n == "GPL-2.0" and "redistribute" in t)
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and "Permission" in t)
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    prose = "the mill on the hill kept its old wheel turning while the version of the story that people told was free to change "
+    texts = [
+        "Copyright 2020 X\n" + wrap(gpl, 6, " * ") + "\nint main() {}", prose + wrap(gpl2, 5, "# ") + " " + prose, prose + mit + ". " + prose * 3, prose * 4,
+        prose + "released under the MIT licence " + prose, prose + "Released under the\n// MIT License. " + prose, "SPDX-License-Identifier: MPL-2.0", "// SPDX-License-Identifier: ISC",
+        gpl.replace("Free Software Foundation", "Free Sofware Foundaton"), "License", "MIT License", "under the MIT License " * 3, "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", None, "", "Version 3 of the License",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + prose, "GNU Lesser General Public License, version 3", "this work is licensed under the gnu general public license"]
+    rows = [(i, f"d{i}/x", t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["licence"], r["cosine"]) for r in licences.licensed(frame(spark, rows, "doc_id long, path string, text string")).collect()}
+    best, unfiltered = _licence_by_brute_force(texts, 0.75)
+    assert [n for _, n in best] == [n for _, n in unfiltered]  # the index loses no licence
+    for i, (cosine, name) in enumerate(best):
+        assert (got[i][0] or "") == name and abs((got[i][1] or 0.0) + cosine) < 1e-6, (i, texts[i], got[i], cosine, name)
+    assert [got[i][0] for i in (0, 1, 2, 3, 5, 6, 8, 12, 13, 17)] == ["GPL-3.0", "GPL-2.0", "MIT", None, "MIT", "MPL-2.0", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "GPL-2.0"]
+
+
+def test_licences_in_long_texts_and_with_clashing_columns(spark):
+    long = "copy the license of the software under version 2 " * 40_000 + "Released under the MIT License"
+    rows = [(1, "a/LICENSE", long, "x", 1), (None, None, "Released under the MIT License", "y", 2), (None, None, "Released under the MIT License", "y", 2)]
+    got = licences.licensed(frame(spark, rows, "doc_id long, path string, text string, line string, word int"))
+    assert sorted((str(r["doc_id"]), r["licence"], r["origin"]) for r in got.collect()) == [("1", "MIT", "own"), ("None", "MIT", "own"), ("None", "MIT", "own")]
 
 
 ITEM = "If Alice buys 12 apples and then, Bob sells 5 kg of flour at the market before noon, how many apples does, Alice keep for her long winter stay"
