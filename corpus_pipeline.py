@@ -25,11 +25,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return labels.filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``, the same for rows with the same id and text only. It is the id itself, but for rows without one and for further texts of
+    an id, which get a hash above all ids: so the smallest key of a group is an id where there is one."""
+    docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    spans = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last"))
+    several = cut_lineage(spans.filter("_first <> _last").select("doc_id", "_first"))
+    marked = docs.join(several, "doc_id", "left")
+    high = F.xxhash64("doc_id", "_hash", F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.col("_hash")))
+    return marked.withColumn("_key", F.when(own, F.col("doc_id").cast("long")).otherwise(high)).select(*COLUMNS, "_key")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; of rows that share an id, one. Rows without an id stay."""
-    kept = cut_lineage(minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct())
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """Keeps the document with the smallest id of each group. Texts that share an id are documents of their own, and so is a row without an
+    id; of rows with the same id (or none) and the same text one stays."""
+    docs = _keyed(docs)
+    found = minhash.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"))
+    kept = cut_lineage(found.filter("kept").select(F.col("doc_id").alias("_key")).distinct())
+    return docs.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +59,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the rows into the order of the mix: the files, read in the order of their names, follow it row by row."""
     keyed = docs.select(*COLUMNS).withColumns({"_k1": F.xxhash64(*COLUMNS), "_k2": F.xxhash64(F.lit("second"), *COLUMNS)})
     placed = mix.mixed(keyed, ["_k1", "_k2"], "source", TARGETS)
-    # rows that agree in all columns are interchangeable: one of them takes all their positions
-    places = cut_lineage(placed.groupBy("_k1", "_k2").agg(F.collect_list("position").alias("_places")))
-    rows = keyed.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"]).select(*COLUMNS, F.explode("_places").alias("_position"))
+    # rows that agree in all columns are interchangeable: one of them meets each of their positions
+    places = cut_lineage(placed.select("_k1", "_k2", F.col("position").alias("_position")))
+    rows = keyed.dropDuplicates(["_k1", "_k2"]).join(places, ["_k1", "_k2"]).select(*COLUMNS, "_position")
     return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*COLUMNS)
 
 
