@@ -44,6 +44,27 @@ def test_dedup_stage_keeps_one_of_each_group(stages):
     assert sum(i is None for i, _ in rows(stages[2])) == 1
 
 
+def test_dedup_stage_keeps_the_texts_of_repeated_and_missing_ids(spark):
+    old = "the miller kept an old wheel turning through the winter while the river froze around the stones below"
+    other = "nobody in the harbour could say why the red boats came home a day before the storm was seen at sea"
+    near = old + " again"
+    third = "a quiet orchard on the southern slope gave more plums that year than all the farms of the valley together"
+    rows_ = [(5, old), (5, other), (5, other), (7, other), (8, near), (None, third), (None, third), (None, old), (9, third + " they said"), (None, "one more text of its own without any copy anywhere"), (11, None), (12, None), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows_)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = sorted(rows(cp.drop_near_duplicates(spark, docs, SF)), key=str)
+    texts = {text for _, text in got}
+    # one of each group: {5 old, 8, null old}, {5 other or 7}, {9, null third}, the text of its own, and the empty ones
+    assert len(got) == 6 and (9, third + " they said") in got and (11, None) in got and (12, None) in got
+    assert {old, other} <= texts or {near, other} <= texts
+    assert sum(i is None for i, _ in got) == 1
+
+
+def test_mixing_stage_places_many_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "same", "en", "src0", 4)] * 300 + [(1, "b", "en", "src1", 1), (1, "b", "en", "src1", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = cp.mix_sources(spark, docs, SF).collect()
+    assert len(out) == 302 and sum(r["doc_id"] == 1 for r in out) == 2
+
+
 def test_decontamination_stage_drops_verbatim_text_with_an_altered_value(spark):
     item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) >= 40).rstrip(". ")
     words = item.split()
