@@ -6,6 +6,7 @@ from attestry.functions import vocabulary as V
 from attestry.functions.text import json_text
 from attestry.operators import ledger as L
 from attestry.operators.keyed import newest, page
+from attestry.operators.listing import listed
 from attestry.plans.registry import as_int, query, table
 
 
@@ -272,6 +273,21 @@ def event_listing(spark, sf):
     return page(e, [F.col("ts"), F.col("event_id")], limit=100, offset=50).select("event_id", "user_id", "event_type", "total")
 
 
+@query("event_pages", "select event_id, (row_number() over (order by ts desc, event_id) - 1) // 50 as page from events")
+def event_pages(spark, sf):
+    """The page of every event of the whole log, newest first."""
+    e = listed(table(spark, sf, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")])
+    return e.positions().select("event_id", F.floor(F.col("position") / 50).cast("long").alias("page"))
+
+
+@query("event_deep_pages", """with e as (select event_id, user_id, row_number() over (order by ts desc, event_id) - 1 as position, count(*) over () as total from events)
+select * from e where position >= 2 * total // 3 and position < 2 * total // 3 + 100 or position >= total - 30""")
+def event_deep_pages(spark, sf):
+    """One hundred events from two thirds down, and what is left of a page at the end."""
+    e = listed(table(spark, sf, "events").select("event_id", "user_id", "ts"), [F.desc("ts"), F.col("event_id")])
+    return e.page(100, 2 * e.total // 3).unionByName(e.page(100, e.total - 30)).drop("ts")
+
+
 @query("event_history", f"""with {_CLAIMS}, {_REQUESTS}
 select v.event_id, v.claim_id, (row_number() over (partition by v.claim_id order by decided_at desc, event_id desc) = 1)::int as is_latest,
   coalesce(v.audited = c.fingerprint, false)::int as current from valid v left join claims c using (claim_id)""")
