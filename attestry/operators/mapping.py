@@ -108,6 +108,26 @@ def audit_packets(proposals: DataFrame, claims: DataFrame, version_id: str, prod
     return rows.select(packet.alias("packet_sha256"), "version_id", "producer_id", "original_path", "proposed_decision", "proposed_path", "claims", "claims_digest")
 
 
+def packet_claims(packets: DataFrame, claims: DataFrame) -> DataFrame:
+    """The claims of every packet as rows (packet_sha256, original_path, and the columns of the claim): a path with very many claims stays many rows."""
+    keyed = packets.select("packet_sha256", "original_path")
+    return keyed.join(claims, F.col("original_path") == F.col("field_path")).drop("field_path")
+
+
+def packet_claim_faults(packets: DataFrame, claims: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """What keeps packets from being built: the stored claims of a path must be those of its pre-review(original_path, claim_id), and every
+    path that was reviewed must have a packet. One join, both ways; repeated rows count once."""
+    stored = packets.select("original_path").join(claims.select(F.col("field_path").alias("original_path"), "claim_id"), "original_path").distinct()
+    wanted = reviewed.select("original_path", "claim_id").distinct()
+    both = stored.withColumn("_stored", F.lit(True)).join(wanted.withColumn("_wanted", F.lit(True)), ["original_path", "claim_id"], "full")
+    known = both.join(packets.select("original_path", F.lit(True).alias("_packet")).distinct(), "original_path", "left")
+    key = F.concat_ws("/", "original_path", "claim_id")
+    return row_rules(known, "PACKET", key, [
+        ("claim_not_reviewed", F.col("_wanted").isNull(), "the pre-review does not have this claim"),
+        ("claim_not_stored", F.col("_stored").isNull() & F.col("_packet").isNotNull(), "the pre-review has it, the store does not"),
+        ("packet_missing", F.col("_packet").isNull(), "a reviewed path without a packet")])
+
+
 def mapping_audit_rules(reports: DataFrame, packets: DataFrame, contract: DataFrame) -> DataFrame:
     """What keeps an independent mapping audit out.
 

@@ -307,6 +307,12 @@ def merge_workflow(old: Column, new: Column) -> Column:
     return F.when(F.element_at(rank, new) > F.element_at(rank, old), new).otherwise(old)
 
 
+def merge_warnings(old: Column, new: Column) -> Column:
+    """The stored warnings in their order, then the new ones not among them; each once. A missing list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none)))
+
+
 def upgrade_fields(old: DataFrame, new: DataFrame) -> DataFrame:
     """Field by field, what a controlled upgrade keeps: the extraction, the stored metadata
     where the extraction is silent, or a conflict that stops the upgrade."""

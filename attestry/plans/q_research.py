@@ -239,6 +239,16 @@ def workflow_merge(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", R.merge_workflow(at("o_orderkey"), at("o_custkey")).alias("status"))
 
 
+@query("workflow_warnings", """with w as (select o_orderkey, case when o_orderkey % 5 = 0 then [] else ['w' || (o_orderkey % 3), 'w' || (o_custkey % 3), 'w' || (o_orderkey % 3)] end as old, case when o_orderkey % 4 = 0 then [] else ['w2', 'w' || (o_custkey % 4)] end as new from orders),
+i as (select o_orderkey, unnest(list_concat(old, new)) as w, unnest(range(len(old) + len(new))) as pos from w), d as (select o_orderkey, w, min(pos) as pos from i group by all)
+select w.o_orderkey, coalesce(string_agg(d.w, ',' order by pos), '') as warnings from w left join d using (o_orderkey) group by 1""")
+def workflow_warnings(spark, sf):
+    """Stored and incoming warnings of every paper, each once, in the order of their first appearance."""
+    o = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "if(o_orderkey % 5 <> 0, array('w' || (o_orderkey % 3), 'w' || (o_custkey % 3), 'w' || (o_orderkey % 3)), null) as old", "if(o_orderkey % 4 <> 0, array('w2', 'w' || (o_custkey % 4)), array()) as new")
+    return o.select("o_orderkey", F.array_join(R.merge_warnings(F.col("old"), F.col("new").cast("array<string>")), ",").alias("warnings"))
+
+
 _UP = f"""{_ST}, n as (select *, case when paper_id % 3 = 0 then null when paper_id % 3 = 1 then value_json else '"changed"' end as nv, case when paper_id % 3 = 0 then 'NOT_REPORTED' else status end as ns from s)"""
 
 

@@ -277,6 +277,28 @@ def mapping_packets(spark, sf):
     return M.audit_packets(proposals(spark, sf), line_claims(spark, sf), "v1", "producer").select("original_path", "claims", "claims_digest", "packet_sha256")
 
 
+@query("mapping_packet_claims", f"with {_PROP} select original_path, claim_id, paper_id, fingerprint from pr join lc on field_path = original_path")
+def mapping_packet_claims(spark, sf):
+    claims = line_claims(spark, sf)
+    packets = M.audit_packets(proposals(spark, sf), claims, "v1", "producer")
+    return M.packet_claims(packets, claims).select("original_path", "claim_id", "paper_id", "fingerprint")
+
+
+_REVIEWED = "select field_path as original_path, claim_id::varchar as claim_id from lc where paper_id % 11 <> 0 union all select field_path, 'gone-' || paper_id from lc where paper_id % 17 = 0 union all select 'unheard', claim_id::varchar from lc where paper_id % 50 = 0"
+
+
+@query("mapping_packet_faults", f"""with {_PROP}, st as (select distinct original_path, claim_id::varchar as claim_id from pr join lc on field_path = original_path), rv as (select distinct * from ({_REVIEWED}))
+select 'claim_not_reviewed' as rule, original_path || '/' || claim_id as key from (select * from st except select * from rv) union all
+select case when original_path in (select original_path from pr) then 'claim_not_stored' else 'packet_missing' end, original_path || '/' || claim_id from (select * from rv except select * from st)""")
+def mapping_packet_faults(spark, sf):
+    """The pre-review lacks the claims of some papers, has some that are gone, and one path that no packet is for."""
+    claims = line_claims(spark, sf).withColumn("claim_id", F.col("claim_id").cast("string"))
+    part = lambda where, path, claim: claims.filter(where).selectExpr(f"{path} as original_path", f"{claim} as claim_id")
+    reviewed = part("paper_id % 11 <> 0", "field_path", "claim_id").unionByName(part("paper_id % 17 = 0", "field_path", "concat('gone-', paper_id)")).unionByName(part("paper_id % 50 = 0", "'unheard'", "claim_id"))
+    packets = M.audit_packets(proposals(spark, sf), claims, "v1", "producer")
+    return M.packet_claim_faults(packets, claims, reviewed).select("rule", "key")
+
+
 AUDITS = ("event_id", "ts as at", "cast(ts as date) as created_at", "'v' || (event_id % 3) as version_id", "'b' || ((event_id * 3) % 40) as original_path",
           "case event_type when 'click' then 'MAPPED' when 'view' then 'UNMAPPED' else 'AMBIGUOUS' end as decision", "case when event_type = 'click' then 't' || (event_id % 2) end as canonical_path",
           "case when event_id % 5 = 0 then 'REJECTED' else 'VALIDATED' end as review_status", "'MAPPED' as proposed_decision", "'t0' as proposed_path")
