@@ -1,9 +1,11 @@
 """URL filtering by association rules.
 
-A fixed rule list judges hosts and paths by suffix and prefix. Its verdicts label the URLs that it covers;
-Spark's FP-growth mines the token combinations of labelled URLs; those that imply a block with enough support and
-confidence become rules for the URLs that the list leaves open. Rules are matched by an inverted index: each is
-filed under its rarest token, a URL's tokens are joined with the index, and the rest of the rule is checked in place.
+A fixed rule list judges hosts and paths by suffix and prefix. Its verdicts label the URLs that it covers, but what made a rule fit is no
+evidence: a labelled URL is taken without its domain and without the host labels and path words of its own rule. Spark's FP-growth mines the
+token combinations of the labelled URLs of three quarters of the hosts (by crc32); those that imply a block with enough support and confidence are
+candidates. A candidate falls if a part of its tokens is already as confident, or if it is less precise than that confidence on the labelled URLs of the
+hosts held out, or fits none of them. The others become rules for the URLs that the list leaves open. Rules are matched by an inverted
+index: each is filed under its rarest token, a URL's tokens are joined with the index, and the rest of the rule is checked in place.
 
 What FP-growth gathers is bounded by ``min_support``: at most 1 / min_support tokens per place in a URL are frequent.
 
@@ -13,6 +15,9 @@ fits its tokens (it has none); repeated URLs are matched once and share the answ
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +76,32 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     return filed.select("antecedent", "support", "confidence", "filed")
 
 
+def evidence(tokens_: Column, rule: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """The tokens of a URL that say something besides the rule that judged it."""
+    own = {}
+    for own_host, own_path, _ in rules:
+        own[own_host + own_path] = [f"host:{x}" for x in own_host.split(".") if x] + [f"path:{x}" for x in re.split(r"[/._-]+", re.sub(r"[0-9]+", "#", own_path.lower())) if x]
+    named = F.from_json(F.lit(json.dumps(own)), "map<string, array<string>>")
+    said = F.coalesce(F.try_element_at(named, rule), F.array().cast("array<string>"))
+    return F.array_except(F.filter(tokens_, lambda x: ~F.startswith(x, F.lit("domain:"))), said)
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """Rules without a part that is a rule at least as confident."""
+    general = rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("of_part"), "filed")
+    each = rules.select("antecedent", "confidence", F.explode("antecedent").alias("filed")).join(general, "filed")
+    inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0) & (F.col("of_part") >= F.col("confidence"))
+    return rules.join(each.filter(inside).select("antecedent").distinct(), "antecedent", "left_anti")
+
+
+def proven(rules: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Rules with their precision on held-out rows (tokens, block), where that reaches ``least``."""
+    each = held.select("tokens", "block", F.explode("tokens").alias("filed"))
+    fits = each.join(rules.select("antecedent", "filed"), "filed").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    right = fits.groupBy("antecedent").agg((F.count_if("block") / F.count("*")).alias("precision"))
+    return rules.join(right.filter(F.col("precision") >= least), "antecedent")
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The best fitting rule (most confident, then most tokens) of every distinct (url, tokens) that any rule fits."""
     each = urls.select("url", "tokens", F.explode("tokens").alias("filed"))
@@ -85,9 +116,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: flo
     rows = pages.select("page_id", url.alias("url"), host(url).alias("host"), path(url).alias("path"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("given", verdict)
-    known = rows.filter("given is not null").select(tokens(F.col("url")).alias("tokens"), (F.col("given") == "block").alias("block"))
+    known = rows.filter("given is not null").select("host", evidence(tokens(F.col("url")), F.col("rule"), rules).alias("tokens"), (F.col("given") == "block").alias("block"))
+    held = F.crc32("host") % 4 == 2
+    mined = shortest(mine(known.filter(~held).select("tokens", "block"), min_support, min_confidence))
+    mined = cut_lineage(proven(mined, known.filter(held).select("tokens", "block"), min_confidence))
     open_ = rows.filter("given is null and url is not null").select("url").distinct().withColumn("tokens", tokens(F.col("url")))
-    found = match(open_, mine(known, min_support, min_confidence))
+    found = match(open_, mined)
     asked = F.col("given").isNull() & F.col("url").isNotNull()  # only these pages meet the mined rules
     settled = rows.filter(~asked).withColumns({"mined_rule": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     joined = rows.filter(asked).join(found.drop("support"), "url", "left").unionByName(settled)
