@@ -30,7 +30,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     an id, which get a hash above all ids: so the smallest key of a group is an id where there is one."""
     docs = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     spans = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last"))
-    several = cut_lineage(spans.filter("_first <> _last").select("doc_id", "_first"))
+    # as a table its size is known, so Spark moves the texts only if there are very many such ids
+    several = stored(spans.filter("_first <> _last").select("doc_id", "_first"), "repeated-ids")
     marked = docs.join(several, "doc_id", "left")
     high = F.xxhash64("doc_id", "_hash", F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.col("_hash")))
