@@ -418,7 +418,9 @@ union all select 'path_repeated', count(*) from labels where doc_id % 13 <> 0 an
 def prediction_rules(spark, sf):
     p = predictions(spark, sf).withColumn("conflict_values", F.when((F.col("paper_id") % 10 == 0) & (F.size("conflict_values") > 0), F.array(F.lit("1"), F.lit("1"))).otherwise(F.col("conflict_values")))
     again = p.filter("paper_id % 6 = 0 and path = 'data.lang' and paper_id % 11 <> 0").unionByName(p.filter("paper_id % 66 = 0 and path = 'results.toxic' and paper_id % 10 <> 0"))
-    return B.prediction_rules(p.unionByName(again)).groupBy("rule").agg(F.count("*").alias("n"))
+    # where both fields break a rule already, the second row of the path is a sound one
+    sound = p.filter("paper_id % 330 = 0 and path = 'results.toxic'").withColumns({"status": F.lit("NOT_VERIFIED"), "value_json": F.lit("0"), "conflict_values": F.array().cast("array<string>")})
+    return B.prediction_rules(p.unionByName(again).unionByName(sound)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("golden_rules", """with g as (select doc_id, quality, toxic from labels join documents using (doc_id))
