@@ -13,6 +13,7 @@ from attestry.functions.identity import canonical_json, stable_id
 from attestry.functions.text import contains_ignore_case, entity_key
 from attestry.operators.keyed import lookup
 from attestry.operators.validate import row_rules
+from attestry.session import kept
 
 _V = F.try_variant_get
 
@@ -124,8 +125,9 @@ def mentions(states: DataFrame) -> DataFrame:
     """
     of = lambda k: F.create_map(*[F.lit(x) for row in V.ENTITY_FIELDS for x in (row[0], row[k])])
     rows = states.filter(F.col("field_path").isin(*[r[0] for r in V.ENTITY_FIELDS]) & (F.col("status") != "EXTRACTION_ERROR") & F.col("provenance_type").isin(*V.AUTHOR_PROVENANCE))
-    item = _alternatives(rows).select("*", F.explode(_items(F.col("claimed"))).alias("item"))
-    named = item.filter(F.schema_of_variant("item") == "STRING").withColumn("wording", F.trim(_V("item", "$", "string"))).filter("wording <> ''")
+    # texts are taken out before the lists are exploded: a VARIANT column counts 2 KB a row in size estimates
+    texts = F.transform(_items(F.col("claimed")), lambda i: F.when(F.schema_of_variant(i) == "STRING", F.trim(_V(i, "$", "string"))))
+    named = _alternatives(rows).select("*", F.explode(texts).alias("wording")).filter("wording <> ''")
     supplied = F.filter("sources", E.is_supplied)
     own = F.when(F.col("status") == "CONFLICT", F.filter(supplied, lambda s: s["claimed_json"] == F.col("claimed"))).otherwise(supplied)
     return named.select(
@@ -162,9 +164,17 @@ def by_name(name: str = "canonical_name", tie: str = "entity_id") -> list[Column
 
 
 def entity_mentions(entity_rows: DataFrame, mention_rows: DataFrame) -> DataFrame:
-    """Entities with every mention and its evidence in order, as long rows."""
-    m = mention_rows.select("entity_type", "normalized_key", "mention_id", "paper_id", "field_path", "alternative_index", F.posexplode_outer("evidence").alias("evidence_order", "s"))
-    return entity_rows.join(m, ["entity_type", "normalized_key"], "left").select("*", "s.*").drop("s")
+    """Entities with every mention and its evidence in order, as long rows.
+
+    Mentions come from exploded lists, so their size is estimated far too low and they would be
+    broadcast. Entities and the keys that are mentioned are stored first: their size is then known.
+    """
+    key = ["entity_type", "normalized_key"]
+    known = kept(entity_rows, "entities")
+    m = mention_rows.select(*key, "mention_id", "paper_id", "field_path", "alternative_index", F.posexplode_outer("evidence").alias("evidence_order", "s"))
+    named = known.join(m, key).select(*known.columns, *[c for c in m.columns if c not in (*key, "s")], "s.*")
+    silent = known.join(kept(mention_rows.select(*key).distinct(), "mentioned"), key, "left_anti")
+    return named.unionByName(silent, allowMissingColumns=True)
 
 
 def typed_rows(states: DataFrame, section: str) -> DataFrame:
