@@ -236,7 +236,7 @@ def research_rows(states: DataFrame, mention_rows: DataFrame, editions: DataFram
 def evidence_gather(mention_rows: DataFrame, rows: DataFrame) -> DataFrame:
     """For every entity the rows of every paper that mentions it, each paper once: two hops, from entities to papers and to what they hold."""
     papers = mention_rows.select("entity_type", "normalized_key", "paper_id").distinct()
-    return papers.join(rows, "paper_id")
+    return papers.hint("merge").join(rows, "paper_id")  # both grow with the papers, whatever their estimates
 
 
 # --- relationships ----------------------------------------------------------------------

@@ -124,8 +124,10 @@ def research_rows(spark, sf):
 @query("entity_gather", f"""with {_ROWS}, pp as (select distinct entity_type, normalized_key, paper_id from men)
 select entity_type, normalized_key, part, count(*) as n, count(distinct paper_id) as papers, min(item) as first_item from pp join rows using (paper_id) group by all""")
 def entity_gather(spark, sf):
-    rows = R.evidence_gather(mentions(spark, sf), known_rows(spark, sf))
-    return rows.groupBy("entity_type", "normalized_key", "part").agg(F.count("*").alias("n"), F.countDistinct("paper_id").alias("papers"), F.min("item").alias("first_item"))
+    # counted per paper first, so an entity meets one row for each part of a paper
+    per_paper = known_rows(spark, sf).groupBy("paper_id", "part").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
+    rows = R.evidence_gather(mentions(spark, sf), per_paper)
+    return rows.groupBy("entity_type", "normalized_key", "part").agg(F.sum("n").alias("n"), F.count("*").alias("papers"), F.min("first_item").alias("first_item"))
 
 
 _SILENT = ", ".join(f"'{p}'" for p in V.FIELD_TYPES if p not in [f[0] for f in _FIELDS])
