@@ -336,7 +336,8 @@ def landing_tallies(spark, sf):
 
 @query("landing_samples", f"with {_FLD} select status, paper_id, field_path, row_number() over (partition by status order by paper_id, pos) as rank from fl where processed qualify rank <= 3")
 def landing_samples(spark, sf):
-    return D.samples(fields(spark, sf).filter("processed"), "status").select("status", "paper_id", "field_path", "rank")
+    rows = fields(spark, sf).filter("processed").select("status", "paper_id", "field_path", "seq", "pos")
+    return D.samples(rows, "status").select("status", "paper_id", "field_path", "rank")
 
 
 @query("year_histogram", f"""with {_FLD}, a as (select paper_id, bool_or(claimed and paper_id % 8 <> 0) as c from fl group by 1) select year(o_orderdate) as year, count_if(c) as papers_with_extracted_fields, count_if(not coalesce(c, false)) as bibliography_only from orders left join a on paper_id = o_orderkey where year(o_orderdate) <= 1998 group by 1""")
