@@ -55,7 +55,8 @@ def field_rules(states: DataFrame) -> DataFrame:
     """Status, value, evidence and provenance must fit together, in every field."""
     c = F.col
     types = F.create_map(*[F.lit(x) for pair in V.FIELD_TYPES.items() for x in pair])
-    expected = F.try_element_at(types, c("field_path"))
+    states = states.withColumn("_expected", F.try_element_at(types, c("field_path")))  # looked up once a row
+    expected = c("_expected")
     strings = lambda j: F.forall(F.coalesce(_V(F.try_parse_json(j), "$", "array<variant>"), F.array().cast("array<variant>")),
                                  lambda i: (F.schema_of_variant(i) == "STRING") & (F.trim(_V(i, "$", "string")) != ""))
     fits = lambda j: ((value_kind(j) == expected) & ((expected != "list") | strings(j)) & ((expected != "string") | (F.trim(E.plain(j)) != "")))
