@@ -2,18 +2,18 @@
 
 Training counts word n-grams exactly (pre-aggregated blocks of fingerprints, shuffled by bucket). A
 count c is stored as its level ``1 + floor(log_b c)``: the pair (n-gram, j) is a member of a Bloom
-filter for every j up to the level. The filter is broadcast; a count comes back by probing j = 1, 2, ...
-until the first miss, so an overestimate by k levels has a chance that falls with the k-th power of
+filter for every j up to the level. The filter lies in segments, one for each bucket of fingerprints; a count comes back by
+probing j = 1, 2, ... until the first miss, so an overestimate by k levels has a chance that falls with the k-th power of
 the false-positive rate. Probabilities are smoothed with the shorter n-gram's:
 
     P(w)    = (c(w) + 1) / (N + V + 1)
     P(w|h)  = (min(c(hw), c(h), c(w)) + K * P(w | shorter h)) / (c(h) + K)
 
-The filter has one bit for each byte of training text, at most ``max_filter_bytes``: that bounds what is
-broadcast. Beyond it no n-gram is dropped; the false-positive rate grows instead and is returned in ``filter_fp``.
-
-Base scores need exact counts of single words. The most frequent words (a fixed number) are looked up
-where the text is read; the others travel as blocks of (text, word, times) to the bucket that holds their count.
+The filter has one bit for each byte of training text, at most ``max_filter_bytes`` if that is given (no n-gram is dropped beyond it;
+the false-positive rate, returned in ``filter_fp``, grows instead). No task and no driver holds more than one segment of it: texts are dealt
+into parts, each part asks every bucket for its different n-grams once, and the answers meet the part's texts again. What is asked for are
+fingerprints; an answer is a level and, for a word, its exact count, which the base score needs. The most frequent words (a fixed number)
+are broadcast and not asked for.
 
 Defined cases: a null or empty text has one token (the end). A null id counts as the empty text in the
 held-out rule. Repeated rows are scored each on its own. Without training rows N and V are 0.
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +36,8 @@ from attestry.llm.words import STEPS, mix, pieces, words
 
 START, END = np.uint64(0x1F0E3DCB5A497887), np.uint64(0x7A6B5C4D3E2F1809)
 BLOCK_SCHEMA = "bucket int, kind int, n long, keys binary, counts binary"
-MODEL_SCHEMA = "bucket int, tokens long, distinct_words long, entries long, keys binary, counts binary, hot_keys binary, hot_counts binary, bits binary"
-SCORE_SCHEMA = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, bucket int, rows binary, keys binary, times binary"
+MODEL_SCHEMA = "bucket int, tokens long, distinct_words long, entries long, keys binary, counts binary, hot_keys binary, hot_counts binary, hot_levels binary, bits binary"
+SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 @dataclass(frozen=True)
@@ -47,9 +46,9 @@ class Settings:
     base: float = 1.5            # of the count levels
     probes: int = 4              # hash functions per member
     smoothing: float = 4.0       # K
-    max_filter_bytes: int = 1 << 30
+    max_filter_bytes: int | None = None
     hot_words: int = 1 << 18     # words whose exact counts are broadcast
-    bucket_bytes: int = 8 << 20  # text bytes per bucket
+    bucket_bytes: int = 8 << 20  # text bytes per bucket, and per part
     flush_tokens: int = 2_000_000
 
 
@@ -74,6 +73,33 @@ def grams(data: np.ndarray, cuts: np.ndarray, order: int):
     return out, at
 
 
+def part_grams(texts: pa.Array, order: int):
+    """``grams`` of all texts of a part. Positions without an n-gram hold the start mark, so the set of n-grams is the same in whatever order texts come."""
+    found, at = [[] for _ in range(order)], [np.zeros(1, dtype=np.int64)]
+    for _, _, data, cuts in pieces(texts):
+        by_order, own = grams(data, cuts, order)
+        for k in range(order):
+            for j in range(k):
+                by_order[k][own[:-1] + j] = START
+            found[k].append(by_order[k])
+        at.append(own[1:] + at[-1][-1])
+    return [np.concatenate(f) for f in found], np.concatenate(at)
+
+
+def _edges(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each bucket's run of sorted keys begins, and the end."""
+    inner = np.searchsorted(keys, np.arange(1, segments, dtype=np.uint64) << np.uint64(64 - max(1, segments.bit_length() - 1)))
+    return np.concatenate(([0], inner, [len(keys)]))
+
+
+def _within(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place in the sorted ``held``, and whether it is there."""
+    if not len(held):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    spot = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return spot, held[spot] == keys
+
+
 def _levels(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
 
@@ -108,8 +134,7 @@ def count_blocks(texts: DataFrame, column: str, segments: int, s: Settings) -> D
                     continue
                 keys, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
                 held[kind].clear()
-                edges = np.searchsorted(keys, np.arange(1, segments, dtype=np.uint64) << np.uint64(64 - max(1, segments.bit_length() - 1)))
-                edges = np.concatenate(([0], edges, [len(keys)]))
+                edges = _edges(keys, segments)
                 full = np.flatnonzero(np.diff(edges))
                 counts = counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
@@ -164,57 +189,53 @@ def train(texts: DataFrame, column: str, segments: int, filter_bits: int, s: Set
                 hot = np.sort(np.argsort(-counts, kind="stable")[: max(1, s.hot_words // segments)])
                 row = {"tokens": int(counts.sum()), "distinct_words": len(keys), "keys": keys.tobytes(), "counts": counts.tobytes(),
                        "hot_keys": keys[hot].tobytes(), "hot_counts": counts[hot].tobytes()}
-        return pd.DataFrame([{"bucket": bucket, "entries": entries, **row, "bits": np.packbits(field, bitorder="little").tobytes()}])[[c.split()[0] for c in MODEL_SCHEMA.split(", ")]]
+        row |= {"bucket": bucket, "entries": entries, "bits": np.packbits(field, bitorder="little").tobytes()}
+        row["hot_levels"] = Filter([row], segments, filter_bits, s).levels(np.frombuffer(row["hot_keys"], dtype=np.uint64)).tobytes()
+        return pd.DataFrame([row])[[c.split()[0] for c in MODEL_SCHEMA.split(", ")]]
 
     return count_blocks(texts, column, segments, s).groupBy("bucket").applyInPandas(build, MODEL_SCHEMA)
 
 
 class Filter:
-    """The broadcast model: filter bits, scalars, and the exact counts of the most frequent words."""
+    """Neighbouring segments of the filter, as a task holds them to look counts up."""
 
     def __init__(self, rows: list, segments: int, filter_bits: int, s: Settings):
         self.segments, self.settings = segments, s
         self.bits = max(64, filter_bits // segments // 8 * 8)
-        self.field = np.zeros(segments * self.bits // 8, dtype=np.uint8)
+        self.first = min((r["bucket"] for r in rows), default=0)
+        self.field = np.zeros((max((r["bucket"] for r in rows), default=0) - self.first + 1) * self.bits // 8, dtype=np.uint8)
         for row in rows:
-            self.field[row["bucket"] * self.bits // 8 : (row["bucket"] + 1) * self.bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
-        self.tokens, self.words = sum(r["tokens"] for r in rows), sum(r["distinct_words"] for r in rows)
-        self.entries = sum(r["entries"] for r in rows)
-        keys = np.concatenate([np.frombuffer(r["hot_keys"], dtype=np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        counts = np.concatenate([np.frombuffer(r["hot_counts"], dtype=np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        order = np.argsort(keys)
-        self.hot_keys, self.hot_counts = keys[order], counts[order]
-
-    @property
-    def false_positives(self) -> float:
-        """The chance that a pair never stored seems to be a member."""
-        return float((1 - np.exp(-self.settings.probes * self.entries / (self.segments * self.bits))) ** self.settings.probes)
+            start = (row["bucket"] - self.first) * self.bits // 8
+            self.field[start : start + self.bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Expected counts from repeated membership probes, one level after the other."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels from repeated membership probes, one after the other. All keys belong to these segments."""
         unique, back = np.unique(keys, return_inverse=True)
-        level, alive = np.zeros(len(unique), dtype=np.int64), np.arange(len(unique))
+        level, alive = np.zeros(len(unique), dtype=np.uint8), np.arange(len(unique))
         j = 1
         while len(alive) and j <= 200:  # base ** 200 exceeds any count, even with a saturated filter
             member = np.ones(len(alive), dtype=bool)
             for place in _places(unique[alive], j, self.settings.probes, self.segments, self.bits):
+                place = place - self.first * self.bits
                 member &= (self.field[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             alive = alive[member]
             level[alive] = j
             j += 1
-        return _expected(level, self.settings.base)[back]
+        return level[back]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Expected counts."""
+        return _expected(self.levels(keys).astype(np.int64), self.settings.base)
 
-    def log_probabilities(self, by_order: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-        """log10 P of every position; those of start marks mean nothing."""
-        s = self.settings
-        seen = [self.counts(k) for k in by_order]
-        single = seen[0]
-        chance = (single + 1) / (self.tokens + self.words + 1)
-        for k in range(1, len(by_order)):
-            history = np.concatenate(([0.0], seen[k - 1][:-1]))
-            joint = np.minimum(np.minimum(seen[k], history), seen[k - 1])
-            chance = (joint + s.smoothing * chance) / (history + s.smoothing)
-        return np.log10(chance)
+
+def log_probabilities(seen: list[np.ndarray], tokens: int, words: int, s: Settings) -> np.ndarray:
+    """log10 P of every position from the counts of its n-grams, per order; those of start marks mean nothing."""
+    chance = (seen[0] + 1) / (tokens + words + 1)
+    for k in range(1, len(seen)):
+        history = np.concatenate(([0.0], seen[k - 1][:-1]))
+        joint = np.minimum(np.minimum(seen[k], history), seen[k - 1])
+        chance = (joint + s.smoothing * chance) / (history + s.smoothing)
+    return np.log10(chance)
 
 
 def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
@@ -222,95 +243,62 @@ def score(docs: DataFrame, held_out, s: Settings = Settings()) -> DataFrame:
     n_known, train_tokens, base_score, score, filter_fp."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = bucket_count(size, s.bucket_bytes)
-    filter_bits = min(max(size, 1 << 13), 8 * s.max_filter_bytes)
-    model = stored(train(training, "text", segments, filter_bits, s), "lm-model")
-    scalars = model.select("bucket", "tokens", "distinct_words", "entries", "hot_keys", "hot_counts", "bits")
-    built = Filter(scalars.collect(), segments, filter_bits, s)  # max_filter_bytes and hot_words bound this
-    shared = spark.sparkContext.broadcast(built)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, part, base_row = shared.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, held = batch.column(0), batch.column(2)
-            for first, last, data, cuts in pieces(batch.column(1)):
-                by_order, at = grams(data, cuts, s.order)
-                n = last - first
-                real = np.ones(at[-1], dtype=bool)
-                real[at[:-1]] = real[at[:-1] + 1] = False
-                logs = np.where(real, lm.log_probabilities(by_order, at), 0.0)
-                scores = np.add.reduceat(logs, at[:-1])
-                row = np.repeat(np.arange(n), np.diff(at))[real]
-                unique, back = np.unique(by_order[0][real], return_inverse=True)
-                spot = np.minimum(np.searchsorted(lm.hot_keys, unique), max(0, len(lm.hot_keys) - 1))
-                hot = lm.hot_keys[spot] == unique if len(lm.hot_keys) else np.zeros(len(unique), dtype=bool)
-                gain = np.zeros(len(unique))
-                gain[hot] = np.log10(lm.hot_counts[spot[hot]] + 1.0)
-                known = np.bincount(row, weights=hot[back], minlength=n).astype(np.int64)
-                sums = np.bincount(row, weights=gain[back], minlength=n)
-                numbers = np.arange(base_row, base_row + n)
-                none = pa.nulls
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, part), pa.int32()), pa.array(numbers, pa.int64()), ids.slice(first, n), held.slice(first, n), pa.array(np.diff(at) - 2, pa.int64()),
-                    pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()),
-                    none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary()),
-                ], names=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
-                rare = ~hot[back]
-                if rare.any():
-                    pair, times = np.unique(back[rare] * np.int64(n) + row[rare], return_counts=True)
-                    keys, own = unique[pair // n], numbers[pair % n]
-                    edges = np.searchsorted(keys, np.arange(1, segments, dtype=np.uint64) << np.uint64(64 - max(1, segments.bit_length() - 1)))
-                    edges = np.concatenate(([0], edges, [len(keys)]))
-                    full = np.flatnonzero(np.diff(edges))
-                    cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())
-                    k = len(full)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(k, part), pa.int32()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.int64()), none(k, pa.int64()),
-                        none(k, pa.float64()), none(k, pa.float64()), pa.array(full, pa.int32()), cut(own), cut(keys), cut(times.astype(np.uint32)),
-                    ], names=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
-                base_row += n
-
-    scanned = stored(rows.mapInArrow(scan, SCORE_SCHEMA), "lm-scan")
-
-    def settle(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        """What the rare words of a bucket add to each text, packed by the part the texts came from."""
-        out = []
-        if len(asked) and len(held):
-            keys, counts = np.frombuffer(held["keys"].iloc[0], dtype=np.uint64), np.frombuffer(held["counts"].iloc[0], dtype=np.int64)
-            for part, own in asked.groupby("part"):
-                want = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in own["keys"]])
-                row = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in own["rows"]])
-                times = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in own["times"]])
-                spot = np.minimum(np.searchsorted(keys, want), len(keys) - 1) if len(keys) else None
-                if spot is None:
-                    continue
-                found = keys[spot] == want
-                who, back = np.unique(row[found], return_inverse=True)
-                known = np.bincount(back, weights=times[found], minlength=len(who)).astype(np.int64)
-                logs = np.bincount(back, weights=times[found] * np.log10(counts[spot[found]] + 1.0), minlength=len(who))
-                if len(who):
-                    out.append((part, who.tobytes(), known.tobytes(), logs.tobytes()))
-        return pd.DataFrame(out, columns=["part", "rows", "known", "logs"])
-
-    asked = scanned.filter("bucket is not null").select("bucket", "part", "rows", "keys", "times")
-    added = asked.groupBy("bucket").cogroup(model.select("bucket", "keys", "counts").groupBy("bucket")).applyInPandas(settle, "part int, rows binary, known binary, logs binary")
-
-    def total(own: pd.DataFrame, extra: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("row")
-        known, logs = own["known"].to_numpy(np.int64).copy(), own["logs"].to_numpy(np.float64).copy()
-        number = own["row"].to_numpy(np.int64)
-        for r in extra.sort_values("bucket_order").itertuples() if len(extra) else ():
-            spot = np.searchsorted(number, np.frombuffer(r.rows, dtype=np.int64))
-            known[spot] += np.frombuffer(r.known, dtype=np.int64)
-            logs[spot] += np.frombuffer(r.logs, dtype=np.float64)
-        tokens = own["n_tokens"].to_numpy(np.int64)
-        base = logs - tokens * np.log10(built_scalars[0] + 1.0 * (built_scalars[1] + 1))
-        return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "held_out": own["held_out"], "n_tokens": tokens, "n_known": known, "base_score": base, "score": own["score"]})
-
-    built_scalars = (built.tokens, built.words)
-    texts = scanned.filter("bucket is null").select("part", "row", "doc_id", "held_out", "n_tokens", "known", "logs", "score")
-    ordered = added.withColumn("bucket_order", F.xxhash64("rows", "logs"))
-    done = texts.groupBy("part").cogroup(ordered.groupBy("part")).applyInPandas(total, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(built.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(built.false_positives).alias("filter_fp"))
+    total_size, size = (n or 0 for n in rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), F.octet_length("text")))).first())
+    segments, parts = bucket_count(size, s.bucket_bytes), bucket_count(total_size, s.bucket_bytes)
+    filter_bits = max(size, 1 << 13) if s.max_filter_bytes is None else min(max(size, 1 << 13), 8 * s.max_filter_bytes)
+    model = stored(train(rows.filter(~F.col("held_out")), "text", segments, filter_bits, s), "lm-model")
+    tokens, distinct, entries = (n or 0 for n in model.agg(F.sum("tokens"), F.sum("distinct_words"), F.sum("entries")).first())
+    bits = max(64, filter_bits // segments // 8 * 8)
+    false_positives = float((1 - np.exp(-s.probes * entries / (segments * bits))) ** s.probes)  # the chance that a pair never stored seems to be a member
+    frequent = model.select("bucket", "hot_keys", "hot_counts", "hot_levels").orderBy("bucket").collect()  # hot_words at most, in the order of their fingerprints
+    joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], dtype=kind) for r in frequent] or [np.zeros(0, kind)])
+    shared = spark.sparkContext.broadcast((joined("hot_keys", np.uint64), joined("hot_counts", np.int64), joined("hot_levels", np.uint8)))
+    # one exchange of the texts serves both the asking and the scoring
+    texts = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+
+    def ask(key: tuple, own: pa.Table) -> pa.Table:
+        by_order, _ = part_grams(own.column("text"), s.order)
+        keys = np.unique(np.concatenate(by_order))
+        keys = keys[~_within(shared.value[0], keys)[1]]
+        edges = _edges(keys, segments)
+        full = np.flatnonzero(np.diff(edges))
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array(np.full(len(full), key[0].as_py()), pa.int32()), "keys": pa.array([keys[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())})
+
+    def settle(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """Levels and exact counts (0 for what is no word) of all keys asked of a bucket."""
+        bucket, part, runs = asked.column("bucket").to_pylist(), asked.column("part"), asked.column("keys").to_pylist()
+        ends = np.cumsum([0] + [len(r) // 8 for r in runs])
+        keys = np.frombuffer(b"".join(runs), dtype=np.uint64)
+        level, exact = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.int64)
+        for row in held.to_pylist():  # one, or none where the bucket holds nothing
+            level = Filter([row], segments, filter_bits, s).levels(keys)
+            spot, found = _within(np.frombuffer(row["keys"], dtype=np.uint64), keys)
+            exact[found] = np.frombuffer(row["counts"], dtype=np.int64)[spot[found]]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.table({"part": part, "bucket": pa.array(bucket, pa.int32()), "levels": cut(level), "exact": cut(exact)})
+
+    def total(own: pa.Table, answers: pa.Table) -> pa.Table:
+        by_order, at = part_grams(own.column("text"), s.order)
+        keys, back = np.unique(np.concatenate(by_order), return_inverse=True)
+        hot_keys, hot_counts, hot_levels = shared.value
+        spot, hot = _within(hot_keys, keys)
+        level, exact = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        level[hot], exact[hot] = hot_levels[spot[hot]], hot_counts[spot[hot]]
+        answers = answers.sort_by("bucket")
+        level[~hot] = np.frombuffer(b"".join(answers.column("levels").to_pylist()), dtype=np.uint8)
+        exact[~hot] = np.frombuffer(b"".join(answers.column("exact").to_pylist()), dtype=np.int64)
+        real = np.ones(at[-1], dtype=bool)
+        real[at[:-1]] = real[at[:-1] + 1] = False
+        logs = log_probabilities(np.split(_expected(level, s.base)[back], s.order), tokens, distinct, s)
+        counts = exact[back[: at[-1]]]
+        per_text = lambda x: np.add.reduceat(np.where(real, x, 0), at[:-1])
+        n_tokens = np.diff(at) - 2
+        base = per_text(np.log10(counts + 1.0)) - n_tokens * np.log10(tokens + 1.0 * (distinct + 1))
+        return pa.table({"doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(per_text(counts > 0), pa.int64()),
+                         "base_score": pa.array(base, pa.float64()), "score": pa.array(per_text(logs), pa.float64())})
+
+    asked = texts.groupBy("part").applyInArrow(ask, "bucket int, part int, keys binary")
+    held = model.select("bucket", "keys", "counts", "bits")
+    answers = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(settle, "part int, bucket int, levels binary, exact binary")
+    done = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(total, SCORE_SCHEMA)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", F.lit(false_positives).alias("filter_fp"))
